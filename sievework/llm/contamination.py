@@ -104,14 +104,14 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 ORACLE = r"""
 WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 bw AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
-wins AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(list_slice(w, at, at + least(len(w), 13) - 1), ' ') AS win
-  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS at FROM bw WHERE len(w) > 0)),
+wins AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(list_slice(w, spot, spot + least(len(w), 13) - 1), ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS spot FROM bw WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM wins),
-places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS at, w FROM dw),
-hits AS (SELECT p.doc_id, p.at, s.n, wins.item_id
-  FROM places p CROSS JOIN sizes s JOIN wins ON wins.n = s.n AND wins.win = array_to_string(list_slice(p.w, p.at, p.at + s.n - 1), ' ')
-  WHERE p.at + s.n - 1 <= len(p.w)),
-cover AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS pos FROM hits) GROUP BY doc_id),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS spot, w FROM dw),
+hits AS (SELECT p.doc_id, p.spot, s.n, wins.item_id
+  FROM places p CROSS JOIN sizes s JOIN wins ON wins.n = s.n AND wins.win = array_to_string(list_slice(p.w, p.spot, p.spot + s.n - 1), ' ')
+  WHERE p.spot + s.n - 1 <= len(p.w)),
+cover AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(spot, spot + n)) AS pos FROM hits) GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
