@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, contamination, lines, quality_model, quality_rules, secrets, shards, token_counts
+from sievework.llm import bpe, contamination, lines, near_duplicates, quality_model, quality_rules, secrets, shards, token_counts
 from sievework.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), config=near_duplicates.NearConfig(shingle=4))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocab_path())
 
@@ -51,8 +55,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_quality_classifier, op4_sharding, op5_line_dedup, op6_decontamination, op7_token_counts, op9_bpe_round_trip, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_quality_classifier, op4_sharding, op5_line_dedup, op6_decontamination, op7_token_counts, op8_minhash_near_dedup, op9_bpe_round_trip, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": lines.ORACLE, "op6_decontamination": contamination.ORACLE}
+    return {"op5_line_dedup": lines.ORACLE, "op6_decontamination": contamination.ORACLE, "op8_minhash_near_dedup": near_duplicates.links_oracle(4)}
