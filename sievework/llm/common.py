@@ -39,3 +39,13 @@ def _sql_type(t: str):
     return StructType.fromDDL(f"x {t}")["x"].dataType
 
 
+
+
+#: A side that is broadcast has at most so many rows and bytes, counted before; larger ones meet the other side by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
+
+
+def if_small(side: DataFrame, size=None) -> DataFrame:
+    """side, marked for broadcast if it is small: counted rows, and the summed Column size (bytes of a row beyond some fixed ones)."""
+    got = side.agg(F.count("*").alias("n"), F.sum(size if size is not None else F.lit(0)).alias("b")).first()
+    return F.broadcast(side) if got["n"] <= BROADCAST_ROWS and (got["b"] or 0) <= BROADCAST_BYTES else side

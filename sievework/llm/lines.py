@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import id_and_text
+from sievework.llm.common import id_and_text, if_small
 from sievework.session import cut
 
 MIN_CHARS = 10
@@ -74,7 +74,7 @@ def kept_text(text: Column, bits: Column) -> Column:
 
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the texts that the bitmaps leave; rows whose lines all stay keep their text, null included."""
-    maps = bitmaps.select(F.col("doc_id").alias("__id"), F.col("bits").alias("__bits"))
+    maps = if_small(cut(bitmaps.select(F.col("doc_id").alias("__id"), F.col("bits").alias("__bits"))), F.octet_length("__bits"))
     cols = [F.when(F.col("__bits").isNull(), F.col(f"d.{c}")).otherwise(kept_text(F.col(f"d.{c}"), F.col("__bits"))).alias(c) if c == text_col else F.col(f"d.{c}") for c in df.columns]
     return df.alias("d").join(maps, F.col(f"d.{id_col}") == F.col("__id"), "left").select(*cols)
 
@@ -88,8 +88,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     lines and take none from others. An empty table gives no rows; other columns of df, whatever their names, play no part.
     """
     docs = id_and_text(df, id_col, text_col)
-    maps = keep_bitmaps(df, id_col, text_col, min_chars).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(maps, F.col("doc_id") == F.col("__id"), "left")
+    maps = cut(keep_bitmaps(df, id_col, text_col, min_chars)).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(if_small(maps, F.octet_length("bits")), F.col("doc_id") == F.col("__id"), "left")
     return joined.select(
         "doc_id",
         F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
