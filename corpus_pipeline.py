@@ -5,20 +5,51 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievework.llm import bpe
+from sievework.llm import bpe, contamination, lines, near_duplicates, quality_rules
 from sievework.llm.catalog import vocab_path
-from sievework.session import ensure_checkpoint_dir, table
+from sievework.llm.common import if_small
+from sievework.session import cut, ensure_checkpoint_dir, table
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the robust distances reject."""
+    return quality_rules.keep_good(docs)
+
+
+def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a smaller doc_id holds; n_chars follows. Documents that lose all lines stay, empty."""
+    kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
+    return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id."""
+    found = near_duplicates.near_duplicates(docs)
+    return _without(docs, found.where(~F.col("kept")).select("doc_id"))
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passages beyond the limit."""
+    found = contamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated").select("doc_id"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents' token ids, counted and digested, with the digest of what they decode to."""
     return bpe.bpe_digests(docs, vocab_path())
 
 
-STAGES = [("bpe", encode)]
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the ids that go; a null id never goes."""
+    ids = cut(gone.select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(if_small(ids), F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+STAGES = [("quality rules", good_documents), ("line dedup", first_lines), ("near-duplicates", one_of_each_group), ("decontamination", uncontaminated), ("bpe", encoded)]
 
-#: No SQL: the rejection by robust distances and the encoding have no SQL form; tests hold the stages against brute force.
+#: None: the rejection by robust distances and the encoding have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -28,6 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{os.urandom(8).hex()}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name.replace(' ', '_')}")
-        docs = spark.read.parquet(f"{base}/{k}-{name.replace(' ', '_')}")
+        at = f"{base}/{k}-{name.replace(' ', '_')}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, contamination, lines, near_duplicates, quality_model, quality_rules, secrets, shards, token_counts
+from sievework.llm import bpe, contamination, lines, near_duplicates, quality_model, quality_rules, secrets, shards, substrings, token_counts
 from sievework.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def vocab_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_quality_classifier, op4_sharding, op5_line_dedup, op6_decontamination, op7_token_counts, op8_minhash_near_dedup, op9_bpe_round_trip, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_secret_scan, op3_quality_classifier, op4_sharding, op5_line_dedup, op6_decontamination, op7_token_counts, op8_minhash_near_dedup, op9_bpe_round_trip, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -114,6 +114,38 @@ def robust_estimates(rows: DataFrame, few: bool, share: float = SHARE, steps: in
     return est
 
 
+def with_group(df: DataFrame, text_col: str, lang_col: str, source_col: str, *keep) -> DataFrame:
+    """keep's columns, text (null: empty) and g0, the hash of the row's language and source."""
+    return df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(lang_col).isNull(), F.col(lang_col), F.col(source_col).isNull(), F.col(source_col)).alias("g0"))
+
+
+def with_base(stats: DataFrame) -> DataFrame:
+    return features(stats).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """Estimates by g, of the groups g0 with MIN_ROWS passing rows or more and, as g = 0, of all rows; and whether they are few enough to broadcast."""
+    passing = rows.where(~F.col("base_failed")).select("g0", *FEATURES)
+    sizes = cut(passing.groupBy("g0").agg(F.count("*").alias("n")))
+    few = sizes.count() <= BROADCAST_GROUPS
+    large = sizes.where(F.col("n") >= MIN_ROWS).select(F.col("g0").alias("g"))
+    own = passing.withColumnRenamed("g0", "g").join(F.broadcast(large) if few else large, "g", "left_semi")
+    return robust_estimates(own.unionAll(passing.select(F.lit(0).cast("long").alias("g"), *FEATURES)), few), few
+
+
+def with_verdict(rows: DataFrame, est: DataFrame, few: bool) -> DataFrame:
+    """rows with outlier and kept."""
+    p = len(FEATURES)
+    shrunk = SHARE / chi2_cdf(chi2_quantile(SHARE, p), p + 2)  # what the covariance of the nearest rows lacks against all of a normal group
+    values = [c for c in est.columns if c != "g"]
+    own = est.where("g <> 0").select(F.col("g").alias("g0"), *(F.col(c).alias(f"own_{c}") for c in values))
+    overall = est.where("g = 0").select(*(F.col(c).alias(f"all_{c}") for c in values))  # one row at most
+    joined = rows.join(F.broadcast(own) if few else own, "g0", "left").join(F.broadcast(overall), F.lit(True), "left")
+    far = distance(joined.withColumns({c: F.coalesce(f"own_{c}", f"all_{c}") for c in values}), shrunk)
+    far = far.withColumn("outlier", ~F.col("base_failed") & F.coalesce(F.col("d2") > chi2_quantile(1 - TAIL, p), F.lit(False)))
+    return far.withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
+
+
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row for each row of df: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, outlier, kept.
 
@@ -123,21 +155,15 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     words and fail the base; null languages or sources are groups of their own; repeated rows give repeated results; an
     empty table gives no rows; other columns, whatever their names, play no part.
     """
-    slim = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(lang_col).isNull(), F.col(lang_col), F.col(source_col).isNull(), F.col(source_col)).alias("g0"))
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    names = list(FEATURES)
-    rows = cut(features(statistics(slim, "doc_id", "g0")).withColumn("base_failed", base))
-    sizes = cut(rows.where(~F.col("base_failed")).groupBy("g0").agg(F.count("*").alias("n")))
-    few = sizes.count() <= BROADCAST_GROUPS
-    large = sizes.where(F.col("n") >= MIN_ROWS).select("g0")
-    rows = rows.join((F.broadcast(large) if few else large).withColumn("g", F.col("g0")), "g0", "left").withColumn("g", F.coalesce("g", F.lit(0).cast("long")))
-    passing = rows.where(~F.col("base_failed")).select("g", *names)
-    everything = passing.select(F.lit(0).cast("long").alias("g"), *names)
-    fitted = passing.where(F.col("g") != 0).unionAll(everything)
-    est = robust_estimates(fitted, few)
-    p = len(names)
-    within = chi2_quantile(SHARE, p)
-    shrunk = SHARE / chi2_cdf(within, p + 2)  # what the covariance of the nearest rows lacks against all of a normal group
-    joined = rows.join(F.broadcast(est) if few else est, "g", "left")
-    far = distance(joined, shrunk).withColumn("outlier", F.coalesce(F.col("d2") > chi2_quantile(1 - TAIL, p), F.lit(False)) & ~F.col("base_failed"))
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "outlier", (~F.col("base_failed") & ~F.col("outlier")).alias("kept"))
+    rows = cut(with_base(statistics(with_group(df, text_col, lang_col, source_col, F.col(id_col).alias("doc_id")), "doc_id", "g0")))
+    est, few = fit(rows)
+    return with_verdict(rows, est, few).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "outlier", "kept")
+
+
+def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of df, all columns as they are, that judge() keeps. The statistics are counted again beside the text, so texts aren't shuffled."""
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), "*").select("row", F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(source_col).alias("s"))
+    est, few = fit(cut(with_base(statistics(with_group(whole, "t", "l", "s"), "g0")).select("g0", "base_failed", *FEATURES)))
+    rows = with_verdict(with_base(statistics(with_group(whole, "t", "l", "s", "row"), "row", "g0")), est, few)
+    # the filter must stay above the verdict: pushed below, it would hold each step's expressions many times over
+    return rows.select("row", "kept", F.monotonically_increasing_id().alias("n")).where("kept and n >= 0").select("row.*")
