@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.session import table
+from sievework.plans import basic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+PARTS = (basic,)
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return basic.token_count(spark, sf_dir)
