@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import basic
+from sievework.plans import basic, payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-PARTS = (basic,)
+PARTS = (basic, payloads)
 
 
 def queries() -> dict[str, Query]:
