@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import basic, payloads
+from sievework.plans import basic, payloads, shapes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-PARTS = (basic, payloads)
+PARTS = (basic, payloads, shapes)
 
 
 def queries() -> dict[str, Query]:
