@@ -162,9 +162,10 @@ class Block:
     def removed(self, answers: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
         """Of each document the limits (start, end) of its removed runs, as (m, 2)."""
         masks = np.zeros(len(self.rec_hash), dtype=np.uint64)
+        z = zstandard.ZstdDecompressor()
         for a in answers:
             own = slice(np.searchsorted(self.rec_bucket, a["bucket"]), np.searchsorted(self.rec_bucket, a["bucket"], "right"))
-            masks[own] = np.frombuffer(a["masks"], dtype=np.uint64)
+            masks[own] = np.frombuffer(z.decompress(a["masks"]), dtype=np.uint64)
         mask = np.where(self.ids[self.at_doc] > self.rec_id[self.at_record], np.uint64(2**64 - 1), masks[self.at_record])
         order = np.argsort(self.at_lo, kind="stable")
         doc, lo, n, mask = self.at_doc[order], self.at_lo[order], self.at_n[order], mask[order]
@@ -361,7 +362,7 @@ def sort_contexts(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFra
                 yield pa.RecordBatch.from_pydict({"bucket": [b], "block": [row["block"]], "records": [records]})
 
     def meet(batches):
-        z = zstandard.ZstdDecompressor()
+        z, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for g in in_groups(batches, "bucket"):
             raw = [z.decompress(r) for r in g["records"]]
             counts = [len(r) // (17 + WIDTH) for r in raw]
@@ -369,7 +370,7 @@ def sort_contexts(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFra
             masks = earlier_strings(col(np.uint64, 0), col(np.int64, 8), col(np.uint8, 16).astype(np.int64), col(np.uint8, 17, WIDTH).reshape(-1, WIDTH))
             end = np.cumsum(counts)
             for i, block in enumerate(g["block"]):
-                yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [g["bucket"][i]], "masks": [masks[end[i] - counts[i] : end[i]].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [g["bucket"][i]], "masks": [pack.compress(masks[end[i] - counts[i] : end[i]].tobytes())]})
 
     sent = with_lists(blocks, shared, "shared").mapInArrow(send, "bucket long, block long, records binary")
     return sent.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(meet, "block long, bucket long, masks binary")
