@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import basic, payloads, shapes
+from sievework.plans import basic, payloads, shapes, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-PARTS = (basic, payloads, shapes)
+PARTS = (basic, payloads, shapes, state)
 
 
 def queries() -> dict[str, Query]:
