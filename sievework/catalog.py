@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import basic, payloads, shapes, state
+from sievework.plans import basic, payloads, shapes, state, whole
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-PARTS = (basic, payloads, shapes, state)
+PARTS = (basic, payloads, shapes, state, whole)
 
 
 def queries() -> dict[str, Query]:
@@ -23,4 +23,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basic.token_count(spark, sf_dir)
+    return whole.compact_all(spark, sf_dir)

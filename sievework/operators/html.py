@@ -61,6 +61,12 @@ def to_text(df: DataFrame, id_col: str = "id", content: str = "content") -> Data
     return d.withColumn("output", F.array_join(F.when(F.col("title") != "", F.concat(F.array("title"), F.col("lines"))).otherwise(F.col("lines")), "\n"))
 
 
+def page_text(html: Column) -> Column:
+    """The page's title and lines as one text, null if it has no lines."""
+    ls = text_lines(html)
+    return F.when(F.size(ls) > 0, F.array_join(F.concat(F.when(title(html) != "", F.array(title(html))).otherwise(F.array().cast("array<string>")), ls), "\n"))
+
+
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?i)href\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
 

@@ -27,9 +27,9 @@ def _joined(lines: Column, text: Column) -> Column:
     return F.concat(F.array_join(lines, "\n"), F.when(text.endswith("\n"), "\n").otherwise(""))
 
 
-def with_runs_folded(df: DataFrame, text: str = "content", out: str = "folded") -> DataFrame:
-    """df with each run of equal lines as the line and a note of its length."""
-    t = F.col(text)
+def with_runs_folded(df: DataFrame, text: str = "content", out: str = "folded", where: Column | None = None) -> DataFrame:
+    """df with each run of equal lines as the line and a note of its length; null where a condition fails."""
+    t = F.col(text) if where is None else F.when(where, F.col(text))
     d = df.withColumn("__l", body_lines(t)).withColumn("__s", F.filter(F.sequence(F.lit(0), F.size("__l") - 1), lambda i: (i == 0) | (F.get(F.col("__l"), i) != F.get(F.col("__l"), i - 1))))
 
     def run(at: Column, k: Column) -> Column:
@@ -40,9 +40,9 @@ def with_runs_folded(df: DataFrame, text: str = "content", out: str = "folded")
     return d.withColumn(out, F.when(t == "", t).otherwise(_joined(F.flatten(F.transform("__s", run)), t))).drop("__l", "__s")
 
 
-def with_headings(df: DataFrame, text: str = "content", out: str = "folded") -> DataFrame:
-    """df with path:line:content rows as the path once, then line:content; other lines end a path's group."""
-    t = F.col(text)
+def with_headings(df: DataFrame, text: str = "content", out: str = "folded", where: Column | None = None) -> DataFrame:
+    """df with path:line:content rows as the path once, then line:content; other lines end a path's group. Null where a condition fails."""
+    t = F.col(text) if where is None else F.when(where, F.col(text))
     d = df.withColumn("__l", F.transform(body_lines(t), lambda x: F.struct(x.alias("line"), F.nullif(F.regexp_extract(x, GREP_ROW, 1), F.lit("")).alias("path"))))
 
     def row(x: Column, i: Column) -> Column:
@@ -184,16 +184,28 @@ def table_folded(x: pd.Series) -> pd.Series:
     return x.map(lambda t: fold(t, "json"), na_action="ignore")
 
 
+def with_native_folds(df: DataFrame, kind: str = "kind", text: str = "content") -> DataFrame:
+    """df with folded: the run or heading fold that the kind allows, null for other kinds. CASE is lazy for built-in functions."""
+    d = with_runs_folded(df, text, "__runs", F.col(kind).isin("log", "text"))
+    d = with_headings(d, text, "__heads", F.col(kind) == "search")
+    return d.withColumn("folded", F.coalesce("__runs", "__heads")).drop("__runs", "__heads")
+
+
+def checked(kind: str, text: str, folded: str | None) -> str:
+    """The fold of a text, if it is shorter and comes back to the text; else the text itself."""
+    if kind == "json":
+        return fold(text, kind)
+    if folded is None or len(folded) >= len(text):
+        return text
+    back = unfold_headings(folded) if kind == "search" else unfold_runs(folded)
+    return folded if back == text else text
+
+
 def compact(df: DataFrame, kind: str = "kind", text: str = "content") -> DataFrame:
-    """df with lossless: the text folded as its kind allows, if that is shorter and can be undone; else the text itself.
-
-    Rows are split by kind first, so that Python only sees the texts that need it.
-    """
-    by = F.col(kind)
-    runs = with_runs_folded(df.where(by.isin("log", "text")), text, "__f").withColumn("__back", F.when(F.char_length("__f") < F.char_length(text), runs_unfolded("__f")))
-    heads = with_headings(df.where(by == "search"), text, "__f").withColumn("__back", F.when(F.char_length("__f") < F.char_length(text), headings_unfolded("__f")))
-    both = runs.unionByName(heads)
-    folded = both.withColumn("lossless", F.when(F.coalesce(F.col("__back") == F.col(text), F.lit(False)) & (F.char_length("__f") < F.char_length(text)), F.col("__f")).otherwise(F.col(text))).drop("__f", "__back")
-    tables = df.where(by == "json").withColumn("lossless", table_folded(text))
-    rest = df.where(~by.isin("log", "text", "search", "json") | by.isNull()).withColumn("lossless", F.col(text))
-    return folded.unionByName(tables).unionByName(rest)
+    """df with lossless: the text folded as its kind allows, if that is shorter and can be undone; else the text itself."""
+
+    @F.pandas_udf(StringType())
+    def pick(k: pd.Series, t: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([None if t_ is None else checked(k_, t_, f_) for k_, t_, f_ in zip(k, t, f)])
+
+    return with_native_folds(df, kind, text).withColumn("lossless", pick(kind, text, "folded")).drop("folded")
