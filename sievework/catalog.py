@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import basic, payloads, shapes, state, whole
+from sievework.plans import basic, payloads, shapes, state, whole, flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-PARTS = (basic, payloads, shapes, state, whole)
+PARTS = (basic, payloads, shapes, state, whole, flows)
 
 
 def queries() -> dict[str, Query]:
