@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import L, R, count_where, lines_of, not_blank, strip
+from sievework.functions.text import L, R, count_where, let, lines_of, not_blank, strip
 
 #: Fixed patterns.
 HTML = rf"(?i)<!doctype\s+html{R}|<html{R}|<main{R}|<article{R}"
@@ -51,13 +51,15 @@ def columns_of(line: Column, delimiter: str) -> Column:
 
 def table_format(content: Column) -> Column:
     """markdown, csv or tsv, or null if the payload is no table."""
-    rows = F.filter(lines_of(content), not_blank)
+    def regular(rows: Column, delimiter: str) -> Column:
+        n = columns_of(F.get(rows, F.lit(0)), delimiter)
+        return (n >= 2) & F.forall(F.slice(rows, 2, 19), lambda r: columns_of(r, delimiter) == n)
 
-    def regular(delimiter: str) -> Column:
-        n = columns_of(rows[0], delimiter)
-        return (n >= 2) & F.forall(F.slice(rows, 2, 19), lambda r: columns_of(r, delimiter) == columns_of(F.get(rows, F.lit(0)), delimiter))
+    def of(rows: Column) -> Column:
+        markdown = F.get(rows, F.lit(0)).contains("|") & F.get(rows, F.lit(1)).rlike(RULE_ROW)
+        return F.when(F.size(rows) < 8, F.lit(None)).when(markdown, "markdown").when(regular(rows, ","), "csv").when(regular(rows, "\t"), "tsv")
 
-    return F.when(F.size(rows) < 8, F.lit(None)).when(F.get(rows, F.lit(0)).contains("|") & F.get(rows, F.lit(1)).rlike(RULE_ROW), "markdown").when(regular(","), "csv").when(regular("\t"), "tsv")
+    return let(F.filter(lines_of(content), not_blank), of)
 
 
 def is_json(content: Column) -> Column:

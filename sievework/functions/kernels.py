@@ -50,6 +50,13 @@ SEVERE_RE, ABNORMAL_RE, PROTECTED_RE = _compiled(SEVERE), _compiled(ABNORMAL), _
 JSON_PRIORITY = _compiled(r"(?i)\b(?:error|fail|failed|fatal|critical|exception|warn|warning|todo|fixme|hack|auth|secret|password|security)\b")
 CODE_ERRORS = _compiled(r"(?i)\b(?:throw|raise|panic|fatal|critical|error|exception|failed|security)\b")
 PYTHON_SIGNAL = re.compile(r"^\s*(?:async\s+)?def\b|^\s*class\s+[A-Za-z_]\w*[^\n]*:\s*(?:#.*)?$|^\s*from\s+\S+\s+import\b", re.M | re.ASCII)
+_ITEM_SPLIT = regex.compile(r"[^\p{L}\p{N}_-]+")
+_DIGITS = regex.compile(r"\p{N}+")
+_HAN = regex.compile(r"\p{Han}")
+_WORD_SPLIT = regex.compile(r"[^\p{L}\p{N}_]+")
+_NO_LETTER = regex.compile(r"\P{L}")
+_EDGES = regex.compile(r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$")
+_DIGIT, _DOTTED = re.compile(r"\d", re.ASCII), re.compile(r"[A-Za-z_][^.]*\.[A-Za-z_]")
 NUMBER = re.compile(r"-?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?", re.I | re.ASCII)
 
 
@@ -70,32 +77,33 @@ def hash_grams(points: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> np.uint32(13))
 
 
-def simhash(text: str) -> int:
-    """64 bits, each the majority vote of all four-character grams."""
-    p = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    n = max(1, len(p) - 3)
-    padded = np.concatenate([p, np.zeros(4, dtype=np.uint32)])
-    grams = np.stack([padded[k : k + n] for k in range(4)], axis=1)
+def simhashes(texts: list[str]) -> np.ndarray:
+    """Of each text 64 bits, each the majority vote of all its four-character grams."""
+    low = [t.lower().ljust(4, "\0") for t in texts]
+    size = np.array([len(t) for t in low])
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    grams = size - 3
+    first = np.cumsum(size) - size
+    begin = np.cumsum(grams) - grams
+    at = np.arange(int(grams.sum())) + np.repeat(first - begin, grams)
+    windows = points[at[:, None] + np.arange(4)]
     bits = np.arange(32, dtype=np.uint32)
-    out = 0
+    out = np.zeros(len(texts), dtype=np.uint64)
     for half, seed in enumerate((0x811C9DC5, 0x9E3779B9)):
-        h = hash_grams(grams, seed) if len(p) else np.array([_empty_hash(seed)], dtype=np.uint32)
-        votes = (h[:, None] >> bits & np.uint32(1)).sum(axis=0)
-        out |= sum(1 << (32 * half + int(b)) for b in np.flatnonzero(2 * votes > len(h)))
+        votes = np.add.reduceat((hash_grams(windows, seed)[:, None] >> bits & np.uint32(1)).astype(np.int32), begin, axis=0)
+        won = (2 * votes > grams[:, None]).astype(np.uint64)
+        out |= (won << (bits + np.uint32(32 * half)).astype(np.uint64)).sum(axis=1, dtype=np.uint64)
     return out
 
 
-def _empty_hash(seed: int) -> int:
-    return int(hash_grams(np.zeros((1, 4), dtype=np.uint32), seed)[0])
-
-
-def leaders(prints: list[int], distance: int = 3) -> int:
+def leaders(prints: np.ndarray, distance: int = 3) -> int:
     """How many fingerprints lie farther than distance from all that counted before."""
-    reps: np.ndarray = np.empty(0, dtype=np.uint64)
+    reps, n = np.empty(len(prints), dtype=np.uint64), 0
     for f in prints:
-        if not len(reps) or np.bitwise_count(reps ^ np.uint64(f)).min() > distance:
-            reps = np.append(reps, np.uint64(f))
-    return len(reps)
+        if not n or np.bitwise_count(reps[:n] ^ f).min() > distance:
+            reps[n] = f
+            n += 1
+    return n
 
 
 def bigram_curve(items: list[str]) -> list[int]:
@@ -104,7 +112,7 @@ def bigram_curve(items: list[str]) -> list[int]:
     for item in items:
         low = item.lower()
         words = low.split()
-        if len(words) == 1 and len(low) > 1 and low == words[0] and regex.search(r"\p{Han}", low):
+        if len(words) == 1 and len(low) > 1 and low == words[0] and _HAN.search(low):
             seen.update(zip(low, low[1:]))
         elif len(words) < 2:
             seen.add((words[0] if words else "", ""))
@@ -135,7 +143,7 @@ def fitting(items: list[str], bias: float, least: int, most: int) -> int:
     if most == 0 or len(items) <= 8:
         return most
     look = items[: max(256, 4 * most)]
-    groups = leaders([simhash(x) for x in look])
+    groups = leaders(simhashes(look))
     clamp = lambda k: min(most, max(least, k))
     if groups <= 3:
         return clamp(max(least, groups))
@@ -155,7 +163,7 @@ def by_information(items: list[str], required: set[int]) -> list[int]:
     free = [i for i in range(len(items)) if i not in required]
     if len(free) <= 1:
         return free
-    tokens = [{t for t in regex.split(r"[^\p{L}\p{N}_-]+", regex.sub(r"\p{N}+", "N", x.lower())) if len(t) > 1} for x in items]
+    tokens = [{t for t in _ITEM_SPLIT.split(_DIGITS.sub("N", x.lower())) if len(t) > 1} for x in items]
     df = Counter(t for ts in tokens for t in ts)
     n, longest = len(items), max(1, *map(len, items))
     rarity = {t: math.log((n + 1) / (c + 1)) / math.log(n + 1) for t, c in df.items()}
@@ -192,7 +200,7 @@ def words_of(query: str, separator: str, longer_than: int = 2) -> list[str]:
 
 
 def digits_alike(x: str) -> str:
-    return regex.sub(r"\p{N}+", "N", x)
+    return _DIGITS.sub("N", x)
 
 
 # --- kinds: each gives (shorter text or None, reason)
@@ -387,17 +395,17 @@ def segments(text: str) -> list[str]:
 
 
 def salient(word: str) -> bool:
-    letters = regex.sub(r"\P{L}", "", word)
-    bare = regex.sub(r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "", word).lower()
-    return bool(re.search(r"\d", word, re.ASCII)) or bare in KEYWORDS or (len(letters) >= 2 and letters == letters.upper()) or bool(re.match(r"[A-Za-z_][^.]*\.[A-Za-z_]", word))
+    letters = _NO_LETTER.sub("", word)
+    bare = _EDGES.sub("", word).lower()
+    return bool(_DIGIT.search(word)) or bare in KEYWORD_SET or (len(letters) >= 2 and letters == letters.upper()) or bool(_DOTTED.match(word))
 
 
 def shorter_text(text: str, query: str, key: str, b: Budget) -> Result:
     segs = segments(text)
     if len(segs) < 6:
         return None, "too_few_segments"
-    tokens = [[t for t in regex.split(r"[^\p{L}\p{N}_]+", s.lower()) if t] for s in segs]
-    words = [w for w in regex.split(r"[^\p{L}\p{N}_]+", query.lower()) if len(w) > 2]
+    tokens = [[t for t in _WORD_SPLIT.split(s.lower()) if t] for s in segs]
+    words = [w for w in _WORD_SPLIT.split(query.lower()) if len(w) > 2]
     relevance = [sum(w in set(t) for w in words) / len(words) if words else 0.0 for t in tokens]
     heading = [bool(re.match(r"#{1,6}\s+", s)) for s in segs]
 

@@ -22,6 +22,11 @@ MARKERS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row, whatever the optimizer does to the expression around it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines_of(content: Column) -> Column:
     return F.split(content, r"\r?\n", -1)
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from sievework.functions.text import let
 
 GREP_ROW = r"^([^\n:]+):(\d+):(.*)$"
 RUN_NOTE = re.compile(r"\.\.\. \(repeated (\d+) times\)")
@@ -27,30 +31,43 @@ def _joined(lines: Column, text: Column) -> Column:
     return F.concat(F.array_join(lines, "\n"), F.when(text.endswith("\n"), "\n").otherwise(""))
 
 
-def with_runs_folded(df: DataFrame, text: str = "content", out: str = "folded", where: Column | None = None) -> DataFrame:
-    """df with each run of equal lines as the line and a note of its length; null where a condition fails."""
-    t = F.col(text) if where is None else F.when(where, F.col(text))
-    d = df.withColumn("__l", body_lines(t)).withColumn("__s", F.filter(F.sequence(F.lit(0), F.size("__l") - 1), lambda i: (i == 0) | (F.get(F.col("__l"), i) != F.get(F.col("__l"), i - 1))))
+def runs_folded(t: Column) -> Column:
+    """The text with each run of equal lines as the line and a note of its length."""
+
+    def starts(l: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(l) - 1), lambda i: (i == 0) | (F.get(l, i) != F.get(l, i - 1)))
+
+    def run(l: Column, s: Column):
+        def one(at: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(s, k + 1), F.size(l)) - at
+            return F.when(n >= 2, F.array(F.get(l, at), F.format_string("... (repeated %d times)", n))).otherwise(F.array(F.get(l, at)))
+
+        return one
+
+    return F.when(t == "", t).otherwise(let(body_lines(t), lambda l: let(starts(l), lambda s: _joined(F.flatten(F.transform(s, run(l, s))), t))))
 
-    def run(at: Column, k: Column) -> Column:
-        n = F.coalesce(F.get(F.col("__s"), k + 1), F.size("__l")) - at
-        line = F.get(F.col("__l"), at)
-        return F.when(n >= 2, F.array(line, F.format_string("... (repeated %d times)", n))).otherwise(F.array(line))
 
-    return d.withColumn(out, F.when(t == "", t).otherwise(_joined(F.flatten(F.transform("__s", run)), t))).drop("__l", "__s")
+def headings_folded(t: Column) -> Column:
+    """The text with path:line:content rows as the path once, then line:content; other lines end a path's group."""
 
+    def row(l: Column):
+        def one(x: Column, i: Column) -> Column:
+            rest = F.substr(x["line"], F.char_length(x["path"]) + 2)
+            again = F.coalesce(F.get(l, i - 1)["path"] == x["path"], F.lit(False))
+            return F.when(x["path"].isNull(), F.array(x["line"])).when(again, F.array(rest)).otherwise(F.array(x["path"], rest))
 
-def with_headings(df: DataFrame, text: str = "content", out: str = "folded", where: Column | None = None) -> DataFrame:
-    """df with path:line:content rows as the path once, then line:content; other lines end a path's group. Null where a condition fails."""
-    t = F.col(text) if where is None else F.when(where, F.col(text))
-    d = df.withColumn("__l", F.transform(body_lines(t), lambda x: F.struct(x.alias("line"), F.nullif(F.regexp_extract(x, GREP_ROW, 1), F.lit("")).alias("path"))))
+        return one
 
-    def row(x: Column, i: Column) -> Column:
-        rest = F.substr(x["line"], F.char_length(x["path"]) + 2)
-        again = F.coalesce(F.get(F.col("__l"), i - 1)["path"] == x["path"], F.lit(False))
-        return F.when(x["path"].isNull(), F.array(x["line"])).when(again, F.array(rest)).otherwise(F.array(x["path"], rest))
+    parsed = F.transform(body_lines(t), lambda x: F.struct(x.alias("line"), F.nullif(F.regexp_extract(x, GREP_ROW, 1), F.lit("")).alias("path")))
+    return F.when(t == "", t).otherwise(let(parsed, lambda l: _joined(F.flatten(F.transform(l, row(l))), t)))
 
-    return d.withColumn(out, F.when(t == "", t).otherwise(_joined(F.flatten(F.transform("__l", row)), t))).drop("__l")
+
+def with_runs_folded(df: DataFrame, text: str = "content", out: str = "folded") -> DataFrame:
+    return df.withColumn(out, runs_folded(F.col(text)))
+
+
+def with_headings(df: DataFrame, text: str = "content", out: str = "folded") -> DataFrame:
+    return df.withColumn(out, headings_folded(F.col(text)))
 
 
 def _split(text: str) -> tuple[list[str], str]:
@@ -169,14 +186,16 @@ def fold(text: str, kind: str) -> str:
     return text
 
 
-@F.pandas_udf(StringType())
-def runs_unfolded(x: pd.Series) -> pd.Series:
-    return x.map(unfold_runs, na_action="ignore")
+def not_undone(df: DataFrame, kind: str, id_col: str = "id", text: str = "content", folded: str = "folded") -> DataFrame:
+    """id of the rows whose folded text doesn't come back to the text."""
+    back = unfold_headings if kind == "search" else unfold_runs
+    id_type = df.schema[id_col].dataType.simpleString()
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[back(f) != t for f, t in zip(b["f"], b["t"])], ["id"]]
 
-@F.pandas_udf(StringType())
-def headings_unfolded(x: pd.Series) -> pd.Series:
-    return x.map(unfold_headings, na_action="ignore")
+    return df.select(F.col(id_col).alias("id"), F.col(text).alias("t"), F.col(folded).alias("f")).mapInPandas(run, f"id {id_type}")
 
 
 @F.pandas_udf(StringType())
@@ -186,9 +205,7 @@ def table_folded(x: pd.Series) -> pd.Series:
 
 def with_native_folds(df: DataFrame, kind: str = "kind", text: str = "content") -> DataFrame:
     """df with folded: the run or heading fold that the kind allows, null for other kinds. CASE is lazy for built-in functions."""
-    d = with_runs_folded(df, text, "__runs", F.col(kind).isin("log", "text"))
-    d = with_headings(d, text, "__heads", F.col(kind) == "search")
-    return d.withColumn("folded", F.coalesce("__runs", "__heads")).drop("__runs", "__heads")
+    return df.withColumn("folded", F.when(F.col(kind).isin("log", "text"), runs_folded(F.col(text))).when(F.col(kind) == "search", headings_folded(F.col(text))))
 
 
 def checked(kind: str, text: str, folded: str | None) -> str:
@@ -203,9 +220,13 @@ def checked(kind: str, text: str, folded: str | None) -> str:
 
 def compact(df: DataFrame, kind: str = "kind", text: str = "content") -> DataFrame:
     """df with lossless: the text folded as its kind allows, if that is shorter and can be undone; else the text itself."""
+    d = with_native_folds(df, kind, text)
 
-    @F.pandas_udf(StringType())
-    def pick(k: pd.Series, t: pd.Series, f: pd.Series) -> pd.Series:
-        return pd.Series([None if t_ is None else checked(k_, t_, f_) for k_, t_, f_ in zip(k, t, f)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ks, ts, fs = (b.column(b.schema.get_field_index(n)).to_pylist() for n in (kind, text, "folded"))
+            kept = [i for i, n in enumerate(b.schema.names) if n != "folded"]
+            out = pa.array([None if t is None else checked(k, t, f) for k, t, f in zip(ks, ts, fs)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), out], names=[*(b.schema.names[i] for i in kept), "lossless"])
 
-    return with_native_folds(df, kind, text).withColumn("lossless", pick(kind, text, "folded")).drop("folded")
+    return d.mapInArrow(run, StructType([*df.schema.fields, StructField("lossless", StringType())]))

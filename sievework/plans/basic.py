@@ -55,7 +55,7 @@ def lossless_runs(spark, d):
 def lossless_runs_not_undone(spark, d):
     """Rows of which the fold doesn't come back: there should be none but texts that hold run notes themselves."""
     v = spark_view(spark, d, "v_log_runs").unionAll(spark_view(spark, d, "v_text"))
-    return lossless.with_runs_folded(v).where(lossless.runs_unfolded("folded") != F.col("content")).select("id")
+    return lossless.not_undone(lossless.with_runs_folded(v), "log")
 
 
 def search_heading(spark, d):
@@ -63,7 +63,7 @@ def search_heading(spark, d):
 
 
 def search_heading_not_undone(spark, d):
-    return lossless.with_headings(spark_view(spark, d, "v_search")).where(lossless.headings_unfolded("folded") != F.col("content")).select("id")
+    return lossless.not_undone(lossless.with_headings(spark_view(spark, d, "v_search")), "search")
 
 
 def json_table_fold(spark, d):
