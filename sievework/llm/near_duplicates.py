@@ -278,7 +278,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = links.unionAll(rest_of_large_groups(large, found, payload, config, id_type))
         found = components(links)
     named = base.join(nodes.select("k1", "k2", F.col("id").alias("node")), ["k1", "k2"], "left").join(found, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

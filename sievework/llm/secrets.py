@@ -49,7 +49,7 @@ def window_entropies(s: str, window: int, inside: frozenset[str] | None = None)
     n = len(s)
     if n < window:
         return []
-    xlog = [0.0, *(c * math.log2(c) for c in range(1, window + 1))]
+    xlog = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]  # one more than the window is in for a moment
     counts: dict[str, int] = {}
     total, outside, out = 0.0, 0, []
     for i, ch in enumerate(s):

@@ -89,17 +89,17 @@ def assign_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
 
 def settle(w: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
     """Bins moved or swapped between the fullest and the emptiest shard as long as that brings their bytes nearer."""
+    if not len(w):
+        return shard
     shard = shard.copy()
     size = w[:, 0]
-    sums = np.bincount(shard, weights=size, minlength=shards) if len(shard) else np.zeros(shards)
+    sums = np.bincount(shard, weights=size, minlength=shards)
     for _ in range(40 * shards):
         hi, lo = int(sums.argmax()), int(sums.argmin())
         gap = sums[hi] - sums[lo]
         a, b = np.flatnonzero(shard == hi), np.concatenate([[-1], np.flatnonzero(shard == lo)])
         gives = np.sort(size[a])
         takes = np.where(b >= 0, size[np.maximum(b, 0)], 0.0)
-        if not len(a):
-            break
         near = np.clip(np.searchsorted(gives, takes + gap / 2), 0, len(gives) - 1)
         near = np.where((near > 0) & (np.abs(gives[np.maximum(near - 1, 0)] - takes - gap / 2) < np.abs(gives[near] - takes - gap / 2)), near - 1, near)
         left = np.abs(gap - 2 * (gives[near] - takes))
