@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import regex
 
+from sievework.functions import braces
 from sievework.functions.text import ABNORMAL, DIFF_PRIORITY, KEYWORDS, PROTECTED, SEVERE
 from sievework.operators.lossless import dump_json, parse_json
 from sievework.operators.rank import spread_order
@@ -569,7 +570,18 @@ def shorter_diff(text: str, query: str, key: str, b: Budget) -> Result:
     return (f"{whole}\n{marker(key)}", "ok") if len(out) < 0.8 * len(lines) and len(whole) < len(text) else (None, "insufficient_savings")
 
 
-SHORTER = {"diff": shorter_diff, "json": shorter_json, "search": shorter_search, "log": shorter_log, "text": shorter_text, "table": shorter_table, "code": shorter_python}
+def shorter_code(text: str, query: str, key: str, b: Budget) -> Result:
+    """Python by its syntax tree, JavaScript and TypeScript by their braces; other languages stay whole."""
+    if PYTHON_SIGNAL.search(text):
+        return shorter_python(text, query, key, b)
+    if not braces.SIGNAL.search(text):
+        return None, "unsupported_language"
+    words = words_of(query, r"[^\p{L}\p{N}_$]+")
+    out, why, _ = braces.fold_bodies(text, lambda f: bool(CODE_ERRORS.search(f)) or any(w in f.lower() for w in words))
+    return (None if out is None else f"{out}\n// {marker(key)}"), why
+
+
+SHORTER = {"diff": shorter_diff, "json": shorter_json, "search": shorter_search, "log": shorter_log, "text": shorter_text, "table": shorter_table, "code": shorter_code}
 
 
 def shorten(kind: str, text: str, query: str, key: str, strength: str = "balanced") -> Result:

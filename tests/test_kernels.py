@@ -261,3 +261,13 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([("abcdefghij" * 20,)], "x string")
     assert len(df.select(text.clip(F.col("x"), F.lit(90))).collect()[0][0]) == 90
     assert text.glob_regex("a*b?.c") == r"(?i)^a.*b.\.c$"
+
+
+def test_brace_folding():
+    body = "\n".join(f"  const a{i} = `x${{y}} }} {i}`; // }}" for i in range(8))
+    src = f"import x from 'y';\nexport async function long(a: number): Promise<void> {{\n{body}\n}}\nclass A {{\n  method(b) {{\n{body}\n  }}\n  bad() {{\n{body}\n    throw new Error('}}');\n  }}\n}}\nconst f = (x) => {{\n{body}\n}};\nif (x) {{\n{body}\n}}\nconst r = /[}}/]{{2}}/g;\n"
+    out, why = k.shorter_code(src, "", KEY, B)
+    assert why == "ok" and out.count("8 lines omitted") == 3 and "throw new Error" in out and out.count("const a3") == 2 and "export async function long(a: number): Promise<void> { /*" in out
+    assert out.endswith(f"// [Retrieve more: hash={KEY}]")
+    assert k.shorter_code("const a = {", "", KEY, B)[1] == "invalid_syntax" and k.shorter_code("const a = 1;", "", KEY, B)[1] == "nothing_to_compress"
+    assert k.shorter_code(src, "const", KEY, B)[1] == "nothing_to_compress" and k.shorter_code("fn main() {}", "", KEY, B)[1] == "unsupported_language"
