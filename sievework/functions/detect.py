@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import L, R, count_where, let, lines_of, not_blank, strip
+from sievework.functions.text import R, any_word, count_where, let, lines_of, not_blank, strip
 
 #: Fixed patterns.
 HTML = rf"(?i)<!doctype\s+html{R}|<html{R}|<main{R}|<article{R}"
@@ -14,7 +14,7 @@ DIFF_CHANGE = r"^[+-][^+-]"
 SEARCH_COLON = r"^([^\s:][^:\n]*):\d+(?=[:\-\s])"
 SEARCH_DASH = r"^([^\s:\n][^:\n]*)-\d+(?=[:\-\s])"
 LOG = "|".join((
-    rf"(?i:{L}(?:ERROR|FAIL|FAILED|FATAL|CRITICAL){R})", rf"(?i:{L}(?:WARN|WARNING){R})", rf"(?i:{L}(?:INFO|DEBUG|TRACE){R})",
+    f"(?i:{any_word('error|fail|failed|fatal|critical|warn|warning|info|debug|trace')})",
     r"^\s*\d{4}-\d{2}-\d{2}", r"^\s*\[\d{2}:\d{2}:\d{2}\]", r"(?i:^npm ERR!|^yarn error|^cargo error)", r"Traceback \(most recent call last\)", r"^\s*at\s+[\w.$]+\(",
 ))
 DECLARATION = "|".join((

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievework.functions.text import R
+from sievework.functions.text import R, let
 
 #: Fixed patterns.
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
@@ -18,8 +18,9 @@ CODE_PIECE = r"[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|[^\s\w]"
 def token_class(x: Column) -> Column:
     n = F.char_length(x)
     cats = sum((x.rlike(p).cast("int") for p in ("[A-Z]", r"\d", "[+/=_-]")), x.rlike("[a-z]").cast("int"))
+    ascii_only = F.octet_length(x) == n
     random = (n >= 32) & x.rlike(HIGH_ENTROPY) & (cats >= 3) & (F.size(F.array_distinct(F.split(x, ""))) / n >= 0.25)
-    return F.when(n == 0, "prose").when(F.regexp_count(x, F.lit(CJK)) / n >= 0.15, "cjk").when(random, "high_entropy").when(x.rlike(CODE_SIGNAL), "code").otherwise("prose")
+    return F.when(n == 0, "prose").when(~ascii_only & (F.regexp_count(x, F.lit(CJK)) / n >= 0.15), "cjk").when(random, "high_entropy").when(x.rlike(CODE_SIGNAL), "code").otherwise("prose")
 
 
 def _sum(xs: Column, weight) -> Column:
@@ -46,13 +47,10 @@ def code_tokens(x: Column) -> Column:
 
 def tokens(x: Column, klass: Column | None = None) -> Column:
     """Estimated tokens of a text; nulls stay null."""
-    k = token_class(x) if klass is None else klass
     n = F.char_length(x)
-    out = (
-        F.when(n == 0, F.lit(0))
-        .when(k == "cjk", cjk_tokens(x))
-        .when(k == "code", code_tokens(x))
-        .when(k == "high_entropy", F.greatest(F.lit(1), F.ceil(n * 5 / 8)))
-        .otherwise(F.greatest(F.lit(1), prose_tokens(x)))
-    )
-    return out.cast("long")
+
+    def by(k: Column) -> Column:
+        counts = F.when(k == "cjk", cjk_tokens(x)).when(k == "code", code_tokens(x)).when(k == "high_entropy", F.greatest(F.lit(1), F.ceil(n * 5 / 8)))
+        return counts.otherwise(F.greatest(F.lit(1), prose_tokens(x)))
+
+    return F.when(n == 0, F.lit(0)).otherwise(let(token_class(x), by) if klass is None else by(klass)).cast("long")

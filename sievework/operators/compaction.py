@@ -69,7 +69,7 @@ def compact(payloads: DataFrame, strength: str = "balanced") -> DataFrame:
     d = lossless.with_native_folds(d, "kind", "payload").withColumn("page", F.concat(page, F.lit("\n"), retrieve_marker(F.col("hash"))))
     j = _with_candidates(d, strength).drop("page", "folded")
     facts = F.when(F.col("kind") == "json", F.col("json_facts")).otherwise(html.protected_facts(F.col("kind"), F.col("payload")))
-    j = j.withColumn("candidate_tokens", tokens(F.col("candidate"))).withColumn("lossless_tokens", tokens(F.col("lossless")))
+    j = j.withColumn("candidate_tokens", tokens(F.col("candidate"))).withColumn("lossless_tokens", F.when(F.col("lossless") == F.col("payload"), F.col("original_tokens")).otherwise(tokens(F.col("lossless"))))
     verdict = F.when(F.col("candidate").isNull(), F.col("why")).otherwise(html.gate(F.col("kind"), F.col("original_tokens"), F.col("candidate"), F.col("candidate_tokens"), facts))
     fold_ok = (F.col("lossless") != F.col("payload")) & (F.col("lossless_tokens") < F.col("original_tokens"))
     json_fold = (F.col("kind") == "json") & fold_ok  # a folded table is no JSON any more, so nothing is dropped from it

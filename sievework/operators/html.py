@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import PROTECTED, R, lines_of, not_blank, strip
+from sievework.functions.text import PROTECTED, R, let, lines_of, not_blank, strip
 from sievework.operators.lines import segments_of
 
 NOISE = ("script", "style", "svg", "noscript", "nav", "footer", "aside", "form")
@@ -74,19 +74,22 @@ def links(html: Column) -> Column:
 def protected_facts(kind: Column, content: Column) -> Column:
     """What a shorter form must hold: lines, segments or parts that the kind protects. JSON's facts need a parser and are left to it."""
     hit = lambda x: x.rlike(PROTECTED)
+    none = F.array().cast("array<string>")
+    some = content.rlike("(?m)" + PROTECTED + r"|[.!?]\s+at\s")  # the last for segments within a line; most payloads have none, and one look over the whole text tells so
     trimmed = F.filter(F.transform(lines_of(content), strip), lambda x: x != "")
     rows = F.filter(lines_of(content), not_blank)
     head = squeeze(F.regexp_replace(F.regexp_extract(content, rf"(?is)<title{R}[^>]*>(.*?)</title>", 1), r"<[^>]+>", " "))
     nodes = F.filter(F.transform(F.regexp_extract_all(content, F.lit(r">([^<>]+)<"), F.lit(1)), squeeze), lambda x: (x != "") & hit(x))
     page = F.array_distinct(F.filter(F.concat(F.array(head), links(content), nodes), lambda x: x != ""))
     return (
-        F.when(kind == "json", F.array().cast("array<string>"))
+        F.when(kind == "json", none)
         .when(kind == "code", F.filter(trimmed, lambda x: x.rlike(DECLARED) | hit(x)))
-        .when(kind == "diff", F.filter(lines_of(content), hit))
-        .when(kind == "table", F.concat(F.slice(rows, 1, 2), F.filter(F.slice(rows, 3, F.greatest(F.lit(1), F.size(rows))), hit)))
+        .when(kind == "table", let(rows, lambda r: F.concat(F.slice(r, 1, 2), F.filter(F.slice(r, 3, F.greatest(F.lit(1), F.size(r))), hit))))
         .when(kind == "html", page)
+        .when(~some, none)
+        .when(kind == "diff", F.filter(lines_of(content), hit))
         .when(kind == "text", F.filter(segments_of(content), hit))
-        .otherwise(F.filter(trimmed, hit))
+        .otherwise(F.filter(F.transform(F.filter(lines_of(content), hit), strip), lambda x: x != ""))
     )
 
 

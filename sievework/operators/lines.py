@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import ABNORMAL, DIFF_PRIORITY, KEYWORDS, L, R, SEVERE, lines_of, not_blank, query_words, strip
+from sievework.functions.text import ABNORMAL, DIFF_PRIORITY, KEYWORDS, SEVERE, any_word, lines_of, not_blank, query_words, strip
 from sievework.functions.detect import table_format
 
 #: Fixed budgets of the balanced profile.
@@ -41,7 +41,7 @@ def any_of(line: Column, words: Column) -> Column:
 
 
 def log_level(line: Column) -> Column:
-    level = lambda words, more="": line.rlike(rf"(?i){L}(?:{words}){R}{more}")
+    level = lambda words, more="": line.rlike(f"(?i){any_word(words)}{more}")
     return F.when(level("ERROR|FATAL|CRITICAL", "|^npm ERR!"), "ERROR").when(level("FAIL|FAILED"), "FAIL").when(level("WARN|WARNING", "|^npm WARN"), "WARN").when(level("INFO", "|^npm info"), "INFO").when(level("DEBUG"), "DEBUG").when(level("TRACE"), "TRACE").otherwise("UNKNOWN")
 
 

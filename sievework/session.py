@@ -40,6 +40,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Inputs below this size aren't spread.
+SPREAD_BYTES = 1_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to as many partitions as there are cores if it comes in fewer, as small files with one row group do.
+
+    Large inputs have more partitions than that and stay as they are; projections and filters still reach the scan.
+    """
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SPREAD_BYTES:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's Parquet tables, spread over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
