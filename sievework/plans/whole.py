@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions.text import content_hash
 from sievework.operators import compaction, html
 from sievework.plans.views import DUCK, spark_view, view_sql
+from sievework.session import cut
 
 
 def _payloads(spark, d):
@@ -23,7 +24,10 @@ def compact_by_kind(spark, d):
 
 def compact_broken_promises(spark, d):
     """Payloads whose result breaks a promise: no fewer tokens, a lost fact, a changed text without savings. There should be none."""
-    c = compaction.compact(_payloads(spark, d))
+    return broken_promises(cut(compaction.compact(_payloads(spark, d))))
+
+
+def broken_promises(c):
     lossy = F.col("changed") & (F.col("strategy") != "lossless") & (F.col("kind") != "json")
     lost = F.exists(html.protected_facts(F.col("kind"), F.col("content")), lambda f: ~F.contains(F.col("output"), f))
     bad = (F.col("changed") & (F.col("compressed_tokens") >= F.col("original_tokens"))) | (~F.col("changed") & (F.col("output") != F.col("content"))) | (lossy & lost) | (F.col("hash") != content_hash(F.col("content")))
