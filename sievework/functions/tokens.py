@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sievework.functions.text import R, let
 
@@ -54,3 +56,16 @@ def tokens(x: Column, klass: Column | None = None) -> Column:
         return counts.otherwise(F.greatest(F.lit(1), prose_tokens(x)))
 
     return F.when(n == 0, F.lit(0)).otherwise(let(token_class(x), by) if klass is None else by(klass)).cast("long")
+
+
+def counted_by(df: DataFrame, count, content: str = "content", out: str = "tokens") -> DataFrame:
+    """df with tokens from a caller's own function of a text, in Arrow batches; a negative or odd count stops the query."""
+
+    def run(batches):
+        for b in batches:
+            got = [None if t is None else count(t) for t in b.column(b.schema.get_field_index(content)).to_pylist()]
+            if any(n is not None and (not isinstance(n, int) or isinstance(n, bool) or n < 0) for n in got):
+                raise ValueError("a token count must be a whole number from zero on")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.int64())], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, LongType())]))

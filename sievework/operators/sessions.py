@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import TRIVIAL_LINES, content_hash, lines_of, strip
+from sievework.functions.text import TRIVIAL_LINES, content_hash, has_marker, lines_of, strip
+from sievework.functions.tokens import tokens
 
 #: Fixed limits.
 MAX_FINGERPRINTS, MIN_FINGERPRINTS, SIMILAR, SESSION_ENTRIES = 256, 8, 0.9, 32
@@ -187,6 +188,34 @@ def read_marker(path: Column, state: Column, h: Column) -> Column:
     return F.concat(F.lit("[Read of "), shown, F.lit(" "), why, F.lit(". Retrieve original: hash="), h, F.lit("]"))
 
 
+def replaceable(reads: DataFrame, min_bytes: int = 512) -> DataFrame:
+    """reads (from read_states, with call_id, output) with marker and replace: outdated, long enough, not yet marked, with a call, and cheaper as a marker."""
+    o = F.col("output")
+    d = reads.withColumn("marker", read_marker(F.col("path"), F.col("state"), content_hash(o)))
+    ok = (F.col("state") != "fresh") & (F.octet_length(o) >= min_bytes) & o.rlike(r"\S") & ~has_marker(o) & F.col("call_id").isNotNull() & (tokens(F.col("marker")) < tokens(o))
+    return d.withColumn("replace", F.coalesce(ok, F.lit(False)))
+
+
+def replayed(marked: DataFrame, entries: DataFrame, now_ms: int) -> DataFrame:
+    """marked (id, output, original) with shown: the marker while its entry is live and holds the same original, else the original."""
+    h = F.regexp_extract("output", r"Retrieve original: hash=([0-9a-f]{24})\]$", 1)
+    held = entries.where(F.col("expires_ms") > now_ms).select("hash", F.sha2("content", 256).alias("held")).distinct().withColumn("backed", F.lit(True))
+    d = marked.withColumn("hash", h).withColumn("held", F.sha2("original", 256)).join(held, ["hash", "held"], "left")
+    return d.withColumn("shown", F.when(F.col("backed"), F.col("output")).otherwise(F.col("original"))).drop("hash", "held", "backed")
+
+
+def replays(parts: DataFrame) -> DataFrame:
+    """parts (session_id, snapshot, key, source, sent) with shown: what was sent first for a key, as long as its source stays the same.
+
+    A changed source starts anew: its own sent form counts from then on.
+    """
+    w = Window.partitionBy("session_id", "key").orderBy("snapshot")
+    d = parts.withColumn("fresh", F.coalesce(F.sha2("source", 256) != F.lag(F.sha2("source", 256)).over(w), F.lit(True)))
+    d = d.withColumn("run", F.sum(F.col("fresh").cast("int")).over(w))
+    first = F.first("sent").over(Window.partitionBy("session_id", "key", "run").orderBy("snapshot"))
+    return d.withColumn("shown", first).drop("fresh", "run")
+
+
 # --- context
 
 

@@ -71,3 +71,9 @@ def parity(results: DataFrame, reference: DataFrame) -> DataFrame:
     r = reference.select("id", F.col("original").alias("ref_original"), F.col("output").alias("ref_output"))
     d = results.join(r, "id").withColumn("share", F.col("output") / F.col("original")).withColumn("ref_share", F.col("ref_output") / F.col("ref_original"))
     return d.groupBy("kind").agg(F.count("*").alias("fixtures"), (F.median("share") / F.median("ref_share")).alias("median_ratio"), (F.sum(1 - F.col("share")) / F.nullif(F.sum(1 - F.col("ref_share")), F.lit(0.0))).alias("savings_ratio"))
+
+
+def rendered(stats: DataFrame) -> DataFrame:
+    """stats (from store.stats) with text: one line that tells them."""
+    share = F.round(100 * F.col("saved_tokens") / F.nullif(F.col("original_tokens"), F.lit(0)), 1)
+    return stats.withColumn("text", F.format_string("entries: %d | original tokens: %d | compressed tokens: %d | saved: %d (%.1f%%) | retrievals: %d", "entries", "original_tokens", "compressed_tokens", "saved_tokens", F.coalesce(share, F.lit(0.0)), "retrievals"))

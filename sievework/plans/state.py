@@ -158,11 +158,37 @@ def parity_ratios(spark, d):
     return telemetry.parity(p.select("id", kind.alias("kind"), "original", F.col("compact").alias("output")), p.select("id", "original", F.ceil(F.col("original") / 2).alias("output"))).select("kind", "fixtures", F.round("median_ratio", 6).alias("median_ratio"), F.round("savings_ratio", 6).alias("savings_ratio"))
 
 
+def _marked_reads(spark, d):
+    r = sessions.read_states(spark_view(spark, d, "v_file_ops"))
+    return r.withColumn("call_id", F.when(F.col("seq") % 7 != 0, F.col("seq"))).withColumn("output", F.concat(F.repeat(F.concat(F.lit("row of "), "path", F.lit("; ")), (F.col("seq") % 90).cast("int")), F.when(F.col("seq") % 11 == 0, "[Retrieve more: hash=0123456789abcdef01234567]").otherwise("")))
+
+
+def read_replacements(spark, d):
+    return sessions.replaceable(_marked_reads(spark, d)).select("seq", "state", "replace")
+
+
+def read_replays(spark, d):
+    e = _entries(spark, d)
+    note = F.concat(F.lit("[Read of f is stale after a later write. Retrieve original: hash="), "hash", F.lit("]"))
+    marked = e.select("id", note.alias("output"), F.when(F.col("id") % 6 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")).alias("original"))
+    return sessions.replayed(marked, e, NOW).select("id", F.sha2("shown", 256).alias("shown_sha256"))
+
+
+def context_replays(spark, d):
+    p = spark_view(spark, d, "v_parts")
+    q = p.select("session_id", "snapshot", F.col("call_id").alias("key"), F.concat("output", F.when(F.col("snapshot") > 3, "x").otherwise("")).alias("source"), F.concat(F.lit("s"), "snapshot").alias("sent"))
+    return sessions.replays(q).select("session_id", "snapshot", "key", "shown")
+
+
+def store_stats_text(spark, d):
+    return telemetry.rendered(store.stats(_entries(spark, d), NOW, "session_id")).select("session_id", "text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         store_live, store_newest, store_stats, store_latest, store_orphans, store_keys, retrieve_query, retrieve_range, retrieve_head, retrieve_tail, retrieve_summary, retrieve_full, repetition_exact, repetition_similar, span_anchors, span_fold_stats,
-        read_states, read_markers, context_live_parts, session_intent, pending_parts, telemetry_sessions, telemetry_reasons, cost_scenarios, break_even, parity_ratios,
+        read_states, read_markers, read_replacements, read_replays, context_replays, store_stats_text, context_live_parts, session_intent, pending_parts, telemetry_sessions, telemetry_reasons, cost_scenarios, break_even, parity_ratios,
     )
 }
 
@@ -209,7 +235,14 @@ def _snap(where: str, key: str) -> str:
  count(mode) AS retrievals, count(*) FILTER (WHERE miss AND mode IS NOT NULL) AS misses, round(coalesce(avg((mode = 'full')::INT) FILTER (WHERE mode IS NOT NULL), 0), 6) AS full_rate, coalesce(sum(output_tokens) FILTER (WHERE mode = 'summary'), 0)::BIGINT AS tokens_summary, coalesce(sum(output_tokens) FILTER (WHERE mode = 'full'), 0)::BIGINT AS tokens_full, (gross_saved - coalesce(sum(output_tokens) FILTER (WHERE mode IS NOT NULL), 0))::BIGINT AS net_saved FROM ({_TEL}) t {where}"""
 
 
+_ROW = "repeat('row of ' || path || '; ', (seq % 90)::INT) || CASE WHEN seq % 11 = 0 THEN '[Retrieve more: hash=0123456789abcdef01234567]' ELSE '' END"
+
 ORACLES = {
+    "read_replacements": f"""WITH {_OPS}, r AS (SELECT *, {_ROW} AS output, '[Read of ' || path || CASE state WHEN 'stale' THEN ' is stale after a later write' ELSE ' is superseded by a later Read' END || '. Retrieve original: hash=' || substr(sha256({_ROW}), 1, 24) || ']' AS marker FROM st)
+ SELECT seq, state, state <> 'fresh' AND seq % 7 <> 0 AND strlen(output) >= 512 AND seq % 11 <> 0 AND {tokens_sql('marker')} < {tokens_sql('output')} AS replace FROM r""",
+    "read_replays": f"WITH {_LIVE} SELECT id, sha256(CASE WHEN id % 6 <> 0 AND EXISTS (SELECT 1 FROM l WHERE l.hash = e.hash) THEN '[Read of f is stale after a later write. Retrieve original: hash=' || hash || ']' WHEN id % 6 = 0 THEN content || '!' ELSE content END) AS shown_sha256 FROM e",
+    "context_replays": f"WITH p AS ({_PARTS}) SELECT session_id, snapshot, call_id AS key, 's' || min(snapshot) OVER (PARTITION BY session_id, call_id, snapshot > 3) AS shown FROM p",
+    "store_stats_text": f"WITH {_LIVE} SELECT session_id, 'entries: ' || count(*) || ' | original tokens: ' || sum(original_tokens)::BIGINT || ' | compressed tokens: ' || sum(compressed_tokens)::BIGINT || ' | saved: ' || sum(greatest(0, original_tokens - compressed_tokens))::BIGINT || ' (' || printf('%.1f', round(100 * sum(greatest(0, original_tokens - compressed_tokens)) / sum(original_tokens), 1)) || '%) | retrievals: ' || sum(retrieval_count)::BIGINT AS text FROM l GROUP BY session_id",
     "store_live": f"WITH {_LIVE} SELECT id, hash FROM l",
     "store_newest": f"WITH {_LIVE}, r AS (SELECT *, row_number() OVER (ORDER BY created_ms DESC, id DESC) AS r FROM l) SELECT id, hash FROM r WHERE r <= 100",
     "store_stats": f"WITH {_LIVE} SELECT session_id, count(*) AS entries, sum(original_tokens)::BIGINT AS original_tokens, sum(compressed_tokens)::BIGINT AS compressed_tokens, sum(greatest(0, original_tokens - compressed_tokens))::BIGINT AS saved_tokens, sum(retrieval_count)::BIGINT AS retrievals FROM l GROUP BY session_id",

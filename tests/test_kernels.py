@@ -271,3 +271,50 @@ def test_brace_folding():
     assert out.endswith(f"// [Retrieve more: hash={KEY}]")
     assert k.shorter_code("const a = {", "", KEY, B)[1] == "invalid_syntax" and k.shorter_code("const a = 1;", "", KEY, B)[1] == "nothing_to_compress"
     assert k.shorter_code(src, "const", KEY, B)[1] == "nothing_to_compress" and k.shorter_code("fn main() {}", "", KEY, B)[1] == "unsupported_language"
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark, tmp_path):
+    """The compaction shuffles nothing; a lookup reads only the columns and rows it needs; a popular hash is aggregated before its join."""
+    rows = [("1", log_text(), "")]
+    spark.createDataFrame(rows, "id string, content string, query string").write.parquet(str(tmp_path / "p"))
+    p = plan_of(compaction.compact(spark.read.parquet(str(tmp_path / "p"))))
+    assert "Exchange" not in p and p.count("MapInArrow") == 1
+    spark.createDataFrame([], store.SCHEMA).write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    p = plan_of(store.live(e, 5).where("session_id = 'a'").select("id", "hash"))
+    assert "GreaterThan(expires_ms,5)" in p and "EqualTo(session_id,a)" in p and "content" not in p.split("ReadSchema")[1]
+
+
+def test_compaction_of_a_stream(spark, tmp_path):
+    schema = "id string, content string, query string"
+    spark.createDataFrame([("1", log_text(), ""), ("2", "short", None)], schema).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = compaction.compact(s).writeStream.format("memory").queryName("compacted").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {r["id"]: r["changed"] for r in spark.table("compacted").collect()}
+    assert got == {"1": True, "2": False}
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    out = spark.createDataFrame([("s", "c", 1, "Bash", {"a": "b"}, None, "x", 1, None), ("s", "d", 2, "Bash", None, None, None, 1, None)], outputs.OUTPUTS)
+    out.write.parquet(str(tmp_path / "o"))
+    assert [r["call_id"] for r in outputs.tool_outputs(spark, str(tmp_path / "o")).collect()] == ["c"]
+    m = spark.sql("SELECT 's' AS session_id, 3 AS message_idx, array(named_struct('call_id', 'a', 'output', 'x'), named_struct('call_id', 'b', 'output', 'y')) AS parts")
+    assert [(r["part_idx"], r["call_id"]) for r in outputs.parts(m).orderBy("part_idx").collect()] == [(0, "a"), (1, "b")]
+    r = outputs.with_result_note(compaction.compact(spark.createDataFrame([("1", log_text(), "")], "id string, content string, query string"))).collect()[0]
+    assert r["note"]["tokens_saved"] == r["original_tokens"] - r["compressed_tokens"] > 0 and r["note"]["hash"] == r["hash"]
+    debug = spark.createDataFrame([(1, ["a"])], "id int, selections array<string>")
+    outputs.write_debug(debug, str(tmp_path / "d"))
+    outputs.write_debug(debug, str(tmp_path / "d"), "trace")
+    assert spark.read.json(str(tmp_path / "d")).where("selections is not null").count() == 1
+
+
+def test_own_token_counter(spark):
+    df = spark.createDataFrame([("a b c",), (None,)], "content string")
+    assert [r["tokens"] for r in tokens.counted_by(df, lambda t: len(t.split())).collect()] == [3, None]
+    with pytest.raises(Exception, match="whole number"):
+        tokens.counted_by(df, lambda t: -1).collect()
