@@ -55,7 +55,7 @@ def tokens(x: Column, klass: Column | None = None) -> Column:
         counts = F.when(k == "cjk", cjk_tokens(x)).when(k == "code", code_tokens(x)).when(k == "high_entropy", F.greatest(F.lit(1), F.ceil(n * 5 / 8)))
         return counts.otherwise(F.greatest(F.lit(1), prose_tokens(x)))
 
-    return F.when(n == 0, F.lit(0)).otherwise(let(token_class(x), by) if klass is None else by(klass)).cast("long")
+    return F.when(x.isNull(), F.lit(None)).when(n == 0, F.lit(0)).otherwise(let(token_class(x), by) if klass is None else by(klass)).cast("long")
 
 
 def counted_by(df: DataFrame, count, content: str = "content", out: str = "tokens") -> DataFrame:

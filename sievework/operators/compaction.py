@@ -39,7 +39,7 @@ def sections(df: DataFrame, id_col: str = "id", content: str = "content") -> Dat
 
 
 def _with_candidates(df: DataFrame, strength: str) -> DataFrame:
-    """df with candidate, why, json_facts, lossless: one pass through Arrow batches, in which each row takes its kind's kernel."""
+    """df with candidate, why, json_facts, lossless (null: no fold): one pass through Arrow batches, in which each row takes its kind's kernel."""
     new = [("candidate", pa.string()), ("why", pa.string()), ("json_facts", pa.list_(pa.string())), ("lossless", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,8 @@ def _with_candidates(df: DataFrame, strength: str) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for kind, text, query, key, folded, page in zip(*rows):
                 short, why = (page, "ok" if page else "too_few_lines") if kind == "html" else shorten(kind, text, query, key, strength)
-                for o, v in zip(out, (short, why, json_facts(text) if kind == "json" and short is not None else [], lossless.checked(kind, text, folded))):
+                fold = lossless.checked(kind, text, folded)
+                for o, v in zip(out, (short, why, json_facts(text) if kind == "json" and short is not None else [], None if fold == text else fold)):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, t) for v, (_, t) in zip(out, new))], names=[*b.schema.names, *(n for n, _ in new)])
 
@@ -67,11 +68,12 @@ def compact(payloads: DataFrame, strength: str = "balanced") -> DataFrame:
     d = with_kind(unwrapped(d), "payload").drop("confidence").withColumn("hash", content_hash(F.col("content"))).withColumn("original_tokens", tokens(F.col("payload")))
     page = F.when((F.col("kind") == "html") & (F.char_length("payload") >= 500), html.page_text(F.col("payload")))
     d = lossless.with_native_folds(d, "kind", "payload").withColumn("page", F.concat(page, F.lit("\n"), retrieve_marker(F.col("hash"))))
-    j = _with_candidates(d, strength).drop("page", "folded")
+    # the content is its three parts, so it needn't travel a second time
+    j = _with_candidates(d.drop("content"), strength).drop("page", "folded").withColumn("content", F.concat("prefix", "payload", "suffix"))
     facts = F.when(F.col("kind") == "json", F.col("json_facts")).otherwise(html.protected_facts(F.col("kind"), F.col("payload")))
-    j = j.withColumn("candidate_tokens", tokens(F.col("candidate"))).withColumn("lossless_tokens", F.when(F.col("lossless") == F.col("payload"), F.col("original_tokens")).otherwise(tokens(F.col("lossless"))))
+    j = j.withColumn("candidate_tokens", tokens(F.col("candidate"))).withColumn("lossless_tokens", tokens(F.col("lossless")))
     verdict = F.when(F.col("candidate").isNull(), F.col("why")).otherwise(html.gate(F.col("kind"), F.col("original_tokens"), F.col("candidate"), F.col("candidate_tokens"), facts))
-    fold_ok = (F.col("lossless") != F.col("payload")) & (F.col("lossless_tokens") < F.col("original_tokens"))
+    fold_ok = F.coalesce(F.col("lossless_tokens") < F.col("original_tokens"), F.lit(False))
     json_fold = (F.col("kind") == "json") & fold_ok  # a folded table is no JSON any more, so nothing is dropped from it
     j = j.withColumn("verdict", verdict).withColumn("took", F.when(json_fold, "lossless").when(F.col("verdict") == "accepted", F.col("kind")).when(fold_ok, "lossless"))
     took = F.col("took")

@@ -137,9 +137,9 @@ def test_detection(spark):
 
 
 def test_tokens(spark):
-    df = spark.createDataFrame([("",), ("hello world!",), ("漢字かな交じり文",), ("const x = 1;\nlet y = 22;",), ("aB3+" * 10 + "cD4_eF5-gH6",)], "x string")
+    df = spark.createDataFrame([("",), ("hello world!",), ("漢字かな交じり文",), ("const x = 1;\nlet y = 22;",), ("aB3+" * 10 + "cD4_eF5-gH6",), (None,)], "x string")
     got = [(r[0], r[1]) for r in df.select(tokens.token_class(F.col("x")), tokens.tokens(F.col("x"))).collect()]
-    assert got[0] == ("prose", 0) and got[1] == ("prose", 5) and got[2] == ("cjk", 8) and got[3][0] == "code" and got[4][0] == "high_entropy"
+    assert got[0] == ("prose", 0) and got[1] == ("prose", 5) and got[2] == ("cjk", 8) and got[3][0] == "code" and got[4][0] == "high_entropy" and got[5][1] is None
 
 
 def test_compaction_keeps_its_promises(spark):
