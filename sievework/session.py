@@ -17,6 +17,7 @@ def build_session(app: str = "sievework", master: str | None = None, shuffle_par
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",  # payloads cost much work a byte; large shuffles aren't concerned
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
     }
