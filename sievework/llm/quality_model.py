@@ -15,6 +15,7 @@ from sievework.llm.common import id_and_text, map_texts
 #: Bounds of the fit: labelled rows of a class for its dictionary and for the calibration, bytes of a dictionary.
 DICT_ROWS, CALIBRATION_ROWS, DICT_BYTES = 2000, 2000, 500_000
 LEVEL = 6
+SEGMENT = 32_768  # bytes compressed at once, each time anew with the whole dictionary, so that it weighs the same throughout a long text
 SHRINK = 100  # bytes added to a text's size, so that a few bytes weigh little in short texts
 
 
@@ -32,7 +33,7 @@ class QualityModel:
     intercept: float
 
     def features(self):
-        """A function of texts: (size with the bad dictionary - size with the good one) / (bytes + SHRINK)."""
+        """A function of texts: (size with the bad dictionary - size with the good one) / (bytes + SHRINK), sizes summed over segments."""
 
         def compressor(content: bytes):
             if not content:
@@ -47,7 +48,8 @@ class QualityModel:
             out = []
             for t in texts:
                 b = t.encode("utf-8", "replace")
-                out.append((len(bad.compress(b)) - len(good.compress(b))) / (len(b) + SHRINK))
+                parts = [b[i : i + SEGMENT] for i in range(0, len(b), SEGMENT)]
+                out.append(sum(len(bad.compress(s)) - len(good.compress(s)) for s in parts) / (len(b) + SHRINK))
             return out
 
         return f
@@ -132,7 +134,7 @@ def _features(df: DataFrame, model: QualityModel) -> DataFrame:
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted.
 
-    A map without a shuffle; each whole text is compressed twice. Null texts count as empty; an empty text has the score of
+    A map without a shuffle; each whole text is compressed twice, in segments. Null texts count as empty; an empty text has the score of
     no difference. Repeated rows give repeated results; other columns, whatever their names, play no part.
     """
 

@@ -174,6 +174,18 @@ def test_quality_model_on_odd_rows(spark, odd):
         assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_quality_of_long_texts():
+    """The feature of a long text is that of all its parts, wherever they stand."""
+    rng = random.Random(5)
+    good, bad, other = (["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(3000)] for _ in range(3))
+    some = lambda words, n: " ".join(rng.choices(words, k=n // 7))
+    f = quality_model.QualityModel(some(good, 500_000).encode(), some(bad, 500_000).encode(), 1.0, 1.0, 0.0).features()
+    short, long, hidden, last = f([some(bad, 30_000), some(bad, 2_000_000), some(other, 2_500_000) + " " + some(bad, 300_000), some(bad, 300_000)])
+    assert short < -0.05 and abs(long / short - 1) < 0.1
+    assert abs(hidden * 2_800_000 / (last * 300_000) - 1) < 0.1
+    assert f([""]) == [0.0]
+
+
 def laws(df, docs):
     rows = df.collect()
     texts = collections.Counter((r["doc_id"], len((r["text"] or "").encode()) + 1) for r in docs.collect())
