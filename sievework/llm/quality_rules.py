@@ -43,7 +43,7 @@ def statistics(df: DataFrame, *keep: str) -> DataFrame:
 
 #: Feature -> least standard deviation, so that a feature that hardly varies doesn't reject small differences.
 FEATURES = {"f_words": 1.0, "f_length": 0.08, "f_symbols": 0.03, "f_repeats": 0.10}
-SHARE = 0.75  # of a group's rows that the estimate rests on: up to a quarter may be outliers
+SHARE = 0.5  # of a group's rows that the estimate rests on: nearly half may be outliers
 STEPS = 3  # concentration steps
 TAIL = 1e-9  # share of a normal group that lies beyond the cutoff
 MIN_ROWS = 40  # smaller groups are judged by the estimate of all rows

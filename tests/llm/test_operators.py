@@ -287,6 +287,18 @@ def test_robust_distances(spark):
     assert abs(quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.75, 4), 4) - 0.75) < 1e-9
 
 
+@pytest.mark.parametrize("share", [0.3, 0.45])
+def test_groups_with_many_outliers(spark, share):
+    """A group that is nearly half junk loses the junk, and nothing else."""
+    rng = np.random.default_rng(1)
+    n, names = 2000, list(quality_rules.FEATURES)
+    junk = np.arange(n) < share * n
+    x = {"f_words": rng.normal(6, 1, n), "f_length": rng.normal(1.6, 0.05, n), "f_symbols": np.where(junk, rng.normal(0.45, 0.02, n), rng.normal(0.02, 0.01, n)), "f_repeats": np.abs(rng.normal(0, 0.02, n))}
+    rows = spark.createDataFrame([(i, 7, 9, False, *(float(x.get(f, np.zeros(n))[i]) for f in names)) for i in range(n)], "i long, g0 long, g1 long, base_failed boolean, " + ", ".join(f"{f} double" for f in names))
+    out = quality_rules.with_verdict(rows, *quality_rules.fit(rows)).where("outlier").collect()
+    assert {r["i"] for r in out} == set(np.flatnonzero(junk).tolist())
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     path = catalog.vocab_path()
