@@ -42,11 +42,11 @@ def statistics(df: DataFrame, *keep: str) -> DataFrame:
 
 
 #: Feature -> least standard deviation, so that a feature that hardly varies doesn't reject small differences.
-FEATURES = {"f_words": 1.0, "f_length": 0.08, "f_symbols": 0.03, "f_repeats": 0.10}
+FEATURES = {"f_words": 1.0, "f_length": 0.08, "f_symbols": 0.03, "f_repeats": 0.04}
 SHARE = 0.5  # of a group's rows that the estimate rests on: nearly half may be outliers
 STEPS = 3  # concentration steps
 TAIL = 1e-9  # share of a normal group that lies beyond the cutoff
-MIN_ROWS = 40  # smaller groups are judged by the estimate of all rows
+MIN_ROWS = 40  # smaller groups are judged by the estimate of their language, and in a language with fewer rows by that of all rows
 BROADCAST_GROUPS = 100_000  # estimates of up to so many groups are broadcast, 200 bytes each
 
 
@@ -64,10 +64,10 @@ def chi2_quantile(q: float, df: int) -> float:
 
 
 def features(stats: DataFrame) -> DataFrame:
-    """Transformed statistics: logarithms of the number of words and of their mean length, square root of the symbols' share, share of repeated words."""
+    """Transformed statistics: logarithms of the number of words and of their mean length, square root of the symbols' share, the larger of the shares of repeated words and of lines that repeat an earlier one."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
-    return stats.withColumns({"f_words": F.log(n + 0.0), "f_length": F.log(chars / n), "f_symbols": F.sqrt(F.col("n_symbols") / chars), "f_repeats": F.col("n_repeat_words") / n})
+    return stats.withColumns({"f_words": F.log(n + 0.0), "f_length": F.log(chars / n), "f_symbols": F.sqrt(F.col("n_symbols") / chars), "f_repeats": F.greatest(F.col("n_repeat_words") / n, F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)))})
 
 
 def with_estimates(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
@@ -115,8 +115,9 @@ def robust_estimates(rows: DataFrame, few: bool, share: float = SHARE, steps: in
 
 
 def with_group(df: DataFrame, text_col: str, lang_col: str, source_col: str, *keep) -> DataFrame:
-    """keep's columns, text (null: empty) and g0, the hash of the row's language and source."""
-    return df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(lang_col).isNull(), F.col(lang_col), F.col(source_col).isNull(), F.col(source_col)).alias("g0"))
+    """keep's columns, text (null: empty), g0, the hash of the row's language and source, and g1, that of its language."""
+    lang = (F.col(lang_col).isNull(), F.col(lang_col))
+    return df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(*lang, F.col(source_col).isNull(), F.col(source_col)).alias("g0"), F.xxhash64(*lang).alias("g1"))
 
 
 def with_base(stats: DataFrame) -> DataFrame:
@@ -124,13 +125,15 @@ def with_base(stats: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> tuple[DataFrame, bool]:
-    """Estimates by g, of the groups g0 with MIN_ROWS passing rows or more and, as g = 0, of all rows; and whether they are few enough to broadcast."""
-    passing = rows.where(~F.col("base_failed")).select("g0", *FEATURES)
-    sizes = cut(passing.groupBy("g0").agg(F.count("*").alias("n")))
+    """Estimates by g, of the groups g0 and of the languages g1 with MIN_ROWS passing rows or more and, as g = 0, of all rows; and whether they are few enough to broadcast."""
+    passing = rows.where(~F.col("base_failed")).select("g0", "g1", *FEATURES)
+    sizes = cut(passing.groupBy("g0", "g1").agg(F.count("*").alias("n")))
     few = sizes.count() <= BROADCAST_GROUPS
-    large = sizes.where(F.col("n") >= MIN_ROWS).select(F.col("g0").alias("g"))
-    own = passing.withColumnRenamed("g0", "g").join(F.broadcast(large) if few else large, "g", "left_semi")
-    return robust_estimates(own.unionAll(passing.select(F.lit(0).cast("long").alias("g"), *FEATURES)), few), few
+    parts = [passing.select(F.lit(0).cast("long").alias("g"), *FEATURES)]
+    for level in ("g0", "g1"):
+        large = sizes.groupBy(F.col(level).alias("g")).agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ROWS).select("g")
+        parts.append(passing.select(F.col(level).alias("g"), *FEATURES).join(F.broadcast(large) if few else large, "g", "left_semi"))
+    return robust_estimates(parts[0].unionAll(parts[1]).unionAll(parts[2]), few), few
 
 
 def with_verdict(rows: DataFrame, est: DataFrame, few: bool) -> DataFrame:
@@ -138,10 +141,11 @@ def with_verdict(rows: DataFrame, est: DataFrame, few: bool) -> DataFrame:
     p = len(FEATURES)
     shrunk = SHARE / chi2_cdf(chi2_quantile(SHARE, p), p + 2)  # what the covariance of the nearest rows lacks against all of a normal group
     values = [c for c in est.columns if c != "g"]
-    own = est.where("g <> 0").select(F.col("g").alias("g0"), *(F.col(c).alias(f"own_{c}") for c in values))
+    named = lambda g, prefix: est.where("g <> 0").select(F.col("g").alias(g), *(F.col(c).alias(f"{prefix}_{c}") for c in values))
+    own, lang = named("g0", "own"), named("g1", "lang")
     overall = est.where("g = 0").select(*(F.col(c).alias(f"all_{c}") for c in values))  # one row at most
-    joined = rows.join(F.broadcast(own) if few else own, "g0", "left").join(F.broadcast(overall), F.lit(True), "left")
-    far = distance(joined.withColumns({c: F.coalesce(f"own_{c}", f"all_{c}") for c in values}), shrunk)
+    joined = rows.join(F.broadcast(own) if few else own, "g0", "left").join(F.broadcast(lang) if few else lang, "g1", "left").join(F.broadcast(overall), F.lit(True), "left")
+    far = distance(joined.withColumns({c: F.coalesce(f"own_{c}", f"lang_{c}", f"all_{c}") for c in values}), shrunk)
     far = far.withColumn("outlier", ~F.col("base_failed") & F.coalesce(F.col("d2") > chi2_quantile(1 - TAIL, p), F.lit(False)))
     return far.withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
 
@@ -151,11 +155,11 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     base_failed: fewer than 10 words, or more than a fifth of the words in repeated 5-word windows. outlier: the squared
     Mahalanobis distance of the transformed statistics lies beyond the cutoff of the row's language and source; of groups
-    with fewer than MIN_ROWS rows, of all rows. Estimates rest on rows that the base keeps. Null and empty texts have no
+    with fewer than MIN_ROWS rows, of their language; of languages with fewer, of all rows. Estimates rest on rows that the base keeps. Null and empty texts have no
     words and fail the base; null languages or sources are groups of their own; repeated rows give repeated results; an
     empty table gives no rows; other columns, whatever their names, play no part.
     """
-    rows = cut(with_base(statistics(with_group(df, text_col, lang_col, source_col, F.col(id_col).alias("doc_id")), "doc_id", "g0")))
+    rows = cut(with_base(statistics(with_group(df, text_col, lang_col, source_col, F.col(id_col).alias("doc_id")), "doc_id", "g0", "g1")))
     est, few = fit(rows)
     return with_verdict(rows, est, few).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "outlier", "kept")
 
@@ -163,7 +167,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of df, all columns as they are, that judge() keeps. The statistics are counted again beside the text, so texts aren't shuffled."""
     whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), "*").select("row", F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(source_col).alias("s"))
-    est, few = fit(cut(with_base(statistics(with_group(whole, "t", "l", "s"), "g0")).select("g0", "base_failed", *FEATURES)))
-    rows = with_verdict(with_base(statistics(with_group(whole, "t", "l", "s", "row"), "row", "g0")), est, few)
+    est, few = fit(cut(with_base(statistics(with_group(whole, "t", "l", "s"), "g0", "g1")).select("g0", "g1", "base_failed", *FEATURES)))
+    rows = with_verdict(with_base(statistics(with_group(whole, "t", "l", "s", "row"), "row", "g0", "g1")), est, few)
     # the filter must stay above the verdict: pushed below, it would hold each step's expressions many times over
     return rows.select("row", "kept", F.monotonically_increasing_id().alias("n")).where("kept and n >= 0").select("row.*")

@@ -299,6 +299,25 @@ def test_groups_with_many_outliers(spark, share):
     assert {r["i"] for r in out} == set(np.flatnonzero(junk).tolist())
 
 
+def test_small_groups_are_judged_by_their_language(spark):
+    """Two languages with other word lengths, in groups of ten: a row of the one among the other's is an outlier, no other row is."""
+    rng = np.random.default_rng(2)
+    n, names = 600, list(quality_rules.FEATURES)
+    lang = np.arange(n) % 2
+    length = rng.normal(1.2, 0.05, n) + 1.6 * np.where(np.arange(n) == 100, 1 - lang, lang)
+    rows = spark.createDataFrame([(i, 1000 + i % 60, 1 + int(lang[i]), False, *(float(length[i]) if f == "f_length" else 0.0 for f in names)) for i in range(n)], "i long, g0 long, g1 long, base_failed boolean, " + ", ".join(f"{f} double" for f in names))
+    assert [r["i"] for r in quality_rules.with_verdict(rows, *quality_rules.fit(rows)).where("outlier").collect()] == [100]
+
+
+def test_repeated_short_lines(spark):
+    """Short lines repeated between different ones: no 5-word window comes twice, but nearly half of the lines do."""
+    rng = random.Random(7)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(8))
+    docs = [(i, "\n".join(x for _ in range(10) for x in (line(), "ok then" if i < 5 else line())), "en", "s") for i in range(200)]
+    got = quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).where("outlier").collect()
+    assert {r["doc_id"] for r in got} == set(range(5)) and all(r["n_repeat_words"] == 0 for r in got)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     path = catalog.vocab_path()
