@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from sievework.llm.common import id_and_text
 from sievework.session import cut
 
-#: Rows that a cell, packed in one task, has on average; cells at most; groups of more than 1/HOT of all rows or bytes are split.
-CELL_ROWS, MAX_CELLS, HOT = 4096, 4096, 1024
+#: Rows that a cell, packed in one task, has on average; cells at most; groups split for their rows alone at most.
+CELL_ROWS, MAX_CELLS, MAX_SPLIT = 4096, 4096, 65_536
+#: A group of more than 1/WHOLE of a shard's rows or bytes is split, for its rows only beyond LEAST_SPLIT of them.
+WHOLE, LEAST_SPLIT = 4, 8
 
 
 def slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,8 +47,8 @@ def place(weights: np.ndarray, capacity: np.ndarray, shards: int) -> np.ndarray:
 def assign_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
-    Groups are rows of equal texts. A group with more than 1/HOT of all rows or bytes - there are at most 2 * HOT such - is
-    split into parts. Groups and parts are dealt by hash to cells of about CELL_ROWS rows; each cell packs its groups into
+    Groups are rows of equal texts. A group with more than 1/WHOLE of a shard's rows or bytes, or with more rows than a cell has
+    room for, is split by doc_id into parts of about half that; others are placed whole. Groups and parts are dealt by hash to cells of about CELL_ROWS rows; each cell packs its groups into
     as many bins as there are shards; then the bins, at most MAX_CELLS * shards of them, are packed into the shards, the
     bins of a cell into different ones where the byte sums allow. Slots count a shard's rows from 0 without gaps, by cell,
     then doc_id (ties by the text's key). Null texts have size 1 and form the group of empty texts; repeated rows are rows
@@ -57,9 +59,12 @@ def assign_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("b")).first()
     n, size = total["n"], total["b"] or 0
     cells = max(1, min(MAX_CELLS, n // CELL_ROWS))
-    hot = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum("size").alias("b")).where((F.col("n") > max(1, n // HOT)) | ((F.col("n") > 1) & (F.col("b") > size // HOT))).select("k1", "k2", F.lit(True).alias("hot"))
-    # at most 2 * HOT rows by the condition above
-    salted = rows.join(F.broadcast(hot), ["k1", "k2"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4 * HOT))).otherwise(F.lit(0).cast("long")))
+    most = max(LEAST_SPLIT, min(n // (WHOLE * shards), max(CELL_ROWS, n // MAX_SPLIT)))
+    heavy = size // (WHOLE * shards)
+    groups = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum("size").alias("b")).where((F.col("n") > most) | ((F.col("n") > 1) & (F.col("b") > heavy)))
+    hot = groups.select("k1", "k2", F.least("n", F.ceil(F.greatest(2 * F.col("n") / most, 2 * F.col("b") / max(1, heavy)))).alias("parts"))
+    # at most 2 * WHOLE * shards + MAX_SPLIT rows by the condition above
+    salted = rows.join(F.broadcast(hot), ["k1", "k2"], "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("parts"))).otherwise(F.lit(0).cast("long")))
     dealt = salted.withColumn("cell", F.pmod(F.xxhash64("k1", "k2", "salt"), F.lit(cells)).cast("int")).select("cell", "doc_id", "size", "text_crc32", "tokens", "k1", "k2", "salt")
 
     def pack(cell: pd.DataFrame) -> pd.DataFrame:
