@@ -22,7 +22,10 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 @dataclass(frozen=True)
 class EntropyRule:
-    """A character class, its window, and the bits a character from which a window counts as random."""
+    """A character class, its window, and the bits a character from which a window counts as random.
+
+    A shorter candidate is one window, and needs bits in proportion to the most that so many characters can have.
+    """
 
     name: str
     alphabet: str
@@ -37,8 +40,8 @@ class SecretConfig:
         EntropyRule("upper_digit", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.5),
         EntropyRule("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.0),
     )
-    #: whole candidate strings that are no secrets: one class of letters only, digests of nothing, identifiers of words, paths
-    allow: tuple[str, ...] = field(default=(r"[a-z]+", r"[A-Z]+", r"[0-9]+", r"[A-Z]?[a-z]+(?:[-_/][A-Za-z]?[a-z]*)+", r"(?:.)\1+", r"0x[0-9a-f]{1,16}", r"(?i)(?:example|sample|dummy|placeholder|test).*"))
+    #: whole candidate strings that are no secrets: one class of letters only, digests of nothing, identifiers of words, paths, placeholder words
+    allow: tuple[str, ...] = field(default=(r"[a-z]+", r"[A-Z]+", r"[0-9]+", r"[A-Z]?[a-z]+(?:[-_/][A-Za-z]?[a-z]*)+", r"(?:.)\1+", r"0x[0-9a-f]{1,16}", r"(?i)(?:(?:example|sample|dummy|placeholder|test)[-_/=+]*)+"))
 
 
 def window_entropies(s: str, window: int, inside: frozenset[str] | None = None) -> list[float]:
@@ -99,9 +102,11 @@ class SecretScanner:
                 continue
             hot: list[tuple[int, int]] = []
             for rule, inside in self._classes:
-                for i, h in enumerate(window_entropies(s, rule.window, inside)):
-                    if h >= rule.bits and self._mixed(s[i : i + rule.window]):
-                        hot.append((i, i + rule.window))
+                window = min(rule.window, len(s))
+                bits = rule.bits * math.log2(window) / math.log2(rule.window)
+                for i, h in enumerate(window_entropies(s, window, inside)):
+                    if h >= bits and self._mixed(s[i : i + window]):
+                        hot.append((i, i + window))
             for a, b in merge(hot):
                 out.append((m.start() + a, 3, m.start() + b))
         return out
@@ -113,9 +118,17 @@ class SecretScanner:
         return 2 <= digits < len(w) or sum(a.islower() != b.islower() for a, b in zip(w, w[1:])) >= len(w) // 3
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        """The base spans, and all spans: base ones, and those by entropy that no base span touches."""
+        """The base spans, and all spans: base ones, and what of those by entropy lies outside base spans."""
         base = self.base(text)
-        extra = [x for x in self.random_spans(text) if not any(x[0] < b[2] and b[0] < x[2] for b in base)]
+        extra = []
+        for a, k, end in self.random_spans(text):
+            for b in base:  # by their starts
+                if a < b[2] and b[0] < end:
+                    if a < b[0]:
+                        extra.append((a, k, b[0]))
+                    a = max(a, b[2])
+            if a < end:
+                extra.append((a, k, end))
         return base, sorted(base + extra)
 
 
