@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sievework.llm import bpe, catalog, contamination, lines, near_duplicates, quality_model, quality_rules, secrets, shards, token_counts
+from sievework.llm import bpe, catalog, common, contamination, lines, near_duplicates, quality_model, quality_rules, secrets, shards, token_counts
 from sievework.llm.byte_vocab import ByteVocab, read_vocab
 from sievework.session import table
 
@@ -68,15 +68,52 @@ def test_line_dedup_on_odd_rows(odd, duck):
     same(lines.dedup_lines(odd), duck, lines.ORACLE)
 
 
-def test_line_dedup_with_hot_lines(spark, odd, duck, monkeypatch):
-    monkeypatch.setattr(lines, "HOT", 10**9)  # so that no line is left to the window but single ones
+def test_line_dedup_with_hot_lines(odd, duck, monkeypatch):
+    """With low bounds most lines that repeat skip the shuffle; with a few buckets their lines are told apart."""
+    monkeypatch.setattr(lines, "LEAST_HOT", 1)
+    monkeypatch.setattr(lines, "HOT", 10**9)
+    for buckets in (65_536, 4):
+        monkeypatch.setattr(lines, "BUCKETS", buckets)
+        occ = lines.occurrences(lines.id_and_text(odd, "doc_id", "text"))
+        assert lines.hot_lines(occ).count() == occ.groupBy("h1", "h2").count().where("count > 1").count() > 3
+        same(lines.dedup_lines(odd), duck, lines.ORACLE)
+
+
+def test_bitmaps_by_a_join(odd, duck, monkeypatch):
+    """The way beyond the bound of a broadcast side."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     same(lines.dedup_lines(odd), duck, lines.ORACLE)
 
 
+def brute_lines(rows):
+    """(doc_id, kept text) of each row."""
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    first = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if i is not None:
+                first[key(x)] = min(i, first.get(key(x), i))
+    return [(i, "\n".join(x for x in (t or "").split("\n") if i is None or len(key(x)) < 10 or first.get(key(x), i) >= i)) for i, t in rows]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_line_dedup_with_repeated_ids(spark, parts):
+    """Rows of one doc_id with different texts lose their own lines only; nothing that is unique goes."""
+    rows = [(1, "common line here\nfirst of all lines"), (2, "common line here\nunique line alpha"), (2, "only here line beta\ncommon line here"), (2, "only here line beta\ncommon line here"), (3, "unique line alpha\nshort\nonly here line beta\n" * 3), (None, "common line here"), (4, None)]
+    df = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, r int, runs string").repartition(parts)
+    want = collections.Counter((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in brute_lines(rows))
+    assert collections.Counter((r["doc_id"], r["kept_sha256"]) for r in lines.dedup_lines(df).collect()) == want
+    texts = lines.apply_bitmaps(df, lines.keep_bitmaps(df))
+    assert texts.columns == df.columns
+    assert collections.Counter((r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in texts.collect()) == want
+
+
 def test_bitmaps_give_the_texts(odd):
     kept = {r["doc_id"]: r["text"] for r in lines.apply_bitmaps(odd, lines.keep_bitmaps(odd)).collect()}
     for r in lines.dedup_lines(odd).collect():
         assert hashlib.sha256((kept[r["doc_id"]] or "").encode()).hexdigest() == r["kept_sha256"]
+        runs = [int(x) for x in r["keep_bitmap"].split(",") if x]
+        assert sum(runs[1::2]) == r["n_dropped"] and sum(runs) <= r["n_lines"] and all(x > 0 for x in runs[1:])
     assert kept[203] is None
 
 
