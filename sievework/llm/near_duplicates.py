@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import id_and_text, map_texts
+from sievework.llm.common import id_and_text, if_small, map_texts
 from sievework.llm.components import components
 from sievework.session import cut
 
@@ -28,6 +28,7 @@ class NearConfig:
     batch: int = 16  # hashes compared at a time
     miss: float = 1e-6  # a pair is pruned if the posterior probability of reaching the threshold falls below this
     block: int = 1024  # members of a group that one step compares with each other; larger groups go in blocks
+    block_shingles: int = 4_000_000  # shingles of those members, on average, so that long texts make blocks of fewer members
 
     @property
     def hashes(self) -> int:
@@ -83,13 +84,14 @@ class Shingler:
 class Verifier:
     """Which pairs are links: signature batches prune, full sets decide."""
 
-    SETS = 4096  # full sets that are kept
+    HELD = 16_000_000  # hashes of the full sets that are kept
 
     def __init__(self, config: NearConfig):
         self.config = config
         self.shingler = Shingler(config)
         self.unpack = zstandard.ZstdDecompressor()
         self.sets: OrderedDict = OrderedDict()
+        self.held = 0
         steps = range(config.batch, config.hashes + 1, config.batch)
         self.least = [least_matches(n, config.percent / 100, config.miss) for n in steps]
 
@@ -110,8 +112,9 @@ class Verifier:
         s = self.sets.get(key)
         if s is None:
             s = self.sets[key] = self.shingler.shingles(self.unpack.decompress(packed))
-            if len(self.sets) > self.SETS:
-                self.sets.popitem(last=False)
+            self.held += len(s)
+            while self.held > self.HELD and len(self.sets) > 2:
+                self.held -= len(self.sets.popitem(last=False)[1])
         else:
             self.sets.move_to_end(key)
         return s
@@ -159,8 +162,13 @@ class Union:
         return a != b
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with doc_id as a struct (doc_id, t); t, a hash of the text, tells rows of one doc_id apart."""
+    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc_id"), "text")
+
+
 def sketch(docs: DataFrame, config: NearConfig) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (128 bits of the set), sig (empty without shingles)."""
+    """doc_id, t, n_shingles, k1, k2 (128 bits of the set), sig (empty without shingles)."""
 
     def make():
         shingler = Shingler(config)
@@ -178,17 +186,27 @@ def sketch(docs: DataFrame, config: NearConfig) -> DataFrame:
 
         return f
 
-    return map_texts(docs, make, [("n_shingles", "bigint"), ("k1", "bigint"), ("k2", "bigint"), ("sig", "binary")])
+    return map_texts(with_row(docs), make, [("n_shingles", "bigint"), ("k1", "bigint"), ("k2", "bigint"), ("sig", "binary")]).select("doc_id.*", "n_shingles", "k1", "k2", "sig")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, packed: the text under zstandard, so that what is shuffled stays small."""
+    """doc_id, t, packed: the text under zstandard, so that what is shuffled stays small."""
 
     def make():
         z = zstandard.ZstdCompressor(level=3)
         return lambda texts: {"packed": [z.compress(t.encode("utf-8", "replace")) for t in texts]}
 
-    return map_texts(docs, make, [("packed", "binary")])
+    return map_texts(with_row(docs), make, [("packed", "binary")]).select("doc_id.*", "packed")
+
+
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, sig, packed of the nodes (id, doc, t, sig): one text of each. Few nodes are broadcast, so that no other text moves; else texts move packed."""
+    keys = nodes.select("id", F.col("doc").alias("__doc"), F.col("t").alias("__t"))
+    side = if_small(keys)
+    few = side is not keys
+    wanted = docs.join(side, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__t")), "left_semi") if few else docs
+    packed = packed_texts(wanted).select(F.col("doc_id").alias("doc"), "t", "packed")
+    return packed.join(nodes, ["doc", "t"]).select("id", "sig", "packed").dropDuplicates(["id"])
 
 
 def in_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
@@ -212,7 +230,7 @@ def in_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str,
         yield held
 
 
-def links_in_blocks(rows: DataFrame, payload: DataFrame, config: NearConfig, id_type: str) -> DataFrame:
+def links_in_blocks(rows: DataFrame, payload: DataFrame, config: NearConfig) -> DataFrame:
     """Links (a, b) that join the rows' components, from rows (g, id, side, comp).
 
     Rows of one g meet in one task, at most some blocks of them. Side 0 meets side 0 and 1; side 1 only side 0. Pairs of one
@@ -239,63 +257,77 @@ def links_in_blocks(rows: DataFrame, payload: DataFrame, config: NearConfig, id_
                 yield pa.RecordBatch.from_pydict({"a": [x[0] for x in found], "b": [x[1] for x in found]})
 
     near = full.repartition("g").sortWithinPartitions("g", "side", "id")
-    return near.mapInArrow(run, f"a {id_type}, b {id_type}")
+    return near.mapInArrow(run, "a long, b long")
+
+
+def same_document(base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes that the rows of one doc_id with different sets belong to."""
+    some = base.where("n_shingles > 0 and doc_id is not null")
+    key = F.struct("k1", "k2")
+    twins = cut(some.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id", "lo"))
+    pairs = some.join(if_small(twins), "doc_id").where(key != F.col("lo")).select("k1", "k2", "lo").distinct()
+    ids = nodes.select("k1", "k2", "id")
+    return pairs.join(ids.withColumnRenamed("id", "a"), ["k1", "k2"]).select("a", F.col("lo.k1").alias("k1"), F.col("lo.k2").alias("k2")).join(ids.withColumnRenamed("id", "b"), ["k1", "k2"]).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: NearConfig | None = None) -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
-    Rows with equal shingle sets are one node, named by its smallest doc_id; other links are found so: nodes that share a
-    band form a group with the smallest of them, all pairs of a group that are not connected yet are compared batch by
-    batch, and survivors are checked on their full sets. Groups beyond config.block nodes are dealt to blocks, each with the
+    Rows with equal shingle sets are one node; other links are found so: nodes that share a band form a group with the smallest
+    of them, all pairs of a group that are not connected yet are compared batch by batch, and survivors are checked on their
+    full sets. Groups beyond config.block nodes, or beyond config.block_shingles shingles, are dealt to blocks, each with the
     group's smallest node; nodes that stay outside the group's largest component then meet all its blocks.
 
-    Null and empty texts, and ones without words, have no shingles and link with nothing. Rows with one doc_id are one node
-    of the graph. Rows with a null id link with nothing and are kept. An empty table gives no rows; other columns of df,
-    whatever their names, play no part.
+    Null and empty texts, and ones without words, have no shingles and link with nothing. Texts of any length are shingled whole;
+    a task holds a block's texts packed, and a bounded number of their sets. Rows with one doc_id are linked with each other, whatever their
+    texts, if these have words; ties by similarity don't matter, as a link is a link. Rows with a null id link with nothing and are
+    kept. Ids may be of any type that has an order. An empty table gives no rows; other columns of df, whatever their names, play no part.
     """
     config = config or NearConfig()
     docs = id_and_text(df, id_col, text_col)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     base = cut(sketch(docs, config))
-    nodes = cut(base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig")))
+    least = F.min(F.struct("doc_id", "t", "n_shingles", "sig")).alias("m")
+    # the numbers are written with the nodes: they stay as they are from here on
+    nodes = cut(base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(least).select(F.monotonically_increasing_id().alias("id"), "k1", "k2", F.col("m.doc_id").alias("doc"), "m.t", "m.n_shingles", "m.sig"))
     width = 4 * config.rows
     keys = F.array(*(F.xxhash64(F.lit(j), F.substring("sig", j * width + 1, width)) for j in range(config.bands)))
-    banded = nodes.select("id", F.explode(keys).alias("key"))
+    banded = nodes.select("id", "n_shingles", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").select("key", "center")
-    members = cut(banded.join(shared, "key").select("center", "id").distinct())
-    sizes = members.groupBy("center").agg(F.count("*").alias("n"))
-    sized = members.join(sizes, "center")
-    blocks = F.ceil(F.col("n") / config.block).cast("long")
+    members = cut(banded.join(shared, "key").select("center", "id", "n_shingles").distinct())
+    sizes = members.groupBy("center").agg(F.ceil(F.greatest(F.count("*") / config.block, F.sum("n_shingles") / config.block_shingles)).cast("long").alias("blocks"), F.count("*").alias("n"))
+    sized = members.join(sizes.withColumn("blocks", F.least("blocks", "n")), "center")
+    blocks = F.col("blocks")
     block = F.when(F.col("id") == F.col("center"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), blocks)))
     rows = sized.select("center", "id", F.explode(block).alias("block")).select(F.xxhash64("center", "block").alias("g"), F.lit(0).alias("side"), "id", F.col("id").alias("comp"))
-    payload = nodes.select("id", "sig").join(packed_texts(docs).withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi"), "id").dropDuplicates(["id"])
-    payload = cut(payload)
-    links = cut(links_in_blocks(rows, payload, config, id_type))
+    payload = cut(texts_of(nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc", "t", "sig"), docs))
+    links = cut(links_in_blocks(rows, payload, config).unionAll(same_document(base, nodes)))
     found = components(links)
-    large = sized.where(F.col("n") > config.block)
+    large = sized.where(F.col("blocks") > 1)
     if not large.isEmpty():
-        links = links.unionAll(rest_of_large_groups(large, found, payload, config, id_type))
+        links = links.unionAll(rest_of_large_groups(large, found, payload, config))
         found = components(links)
-    named = base.join(nodes.select("k1", "k2", F.col("id").alias("node")), ["k1", "k2"], "left").join(found, "node", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    found = cut(found)
+    linked = found.unionAll(found.select("component", "component").distinct()).toDF("id", "component")
+    firsts = linked.join(nodes.select("id", "doc"), "id").groupBy("component").agg(F.min("doc").alias("first"))
+    names = linked.join(firsts, "component").select("id", "first")
+    named = base.join(nodes.select("k1", "k2", "id", "doc").join(names, "id", "left"), ["k1", "k2"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("first", "doc")).otherwise(F.col("doc_id"))
+    return named.select("doc_id", base["n_shingles"], component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def rest_of_large_groups(large: DataFrame, found: DataFrame, payload: DataFrame, config: NearConfig, id_type: str) -> DataFrame:
+def rest_of_large_groups(large: DataFrame, found: DataFrame, payload: DataFrame, config: NearConfig) -> DataFrame:
     """Links between a large group's nodes outside its largest component and all its nodes, block against block."""
-    labelled = cut(large.join(found, F.col("id") == F.col("node"), "left").select("center", "id", "n", F.coalesce("component", "id").alias("comp")))
+    labelled = cut(large.join(found, F.col("id") == F.col("node"), "left").select("center", "id", "blocks", F.coalesce("component", "id").alias("comp")))
     counts = labelled.groupBy("center", "comp").agg(F.count("*").alias("m"))
-    top = counts.groupBy("center").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("all")).where(F.col("all") > F.col("t.m")).select("center", F.col("t.comp").alias("top"), (F.col("all") - F.col("t.m")).alias("outside"))
+    top = counts.groupBy("center").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("all")).where(F.col("all") > F.col("t.m")).select("center", F.col("t.comp").alias("top"), ((F.col("all") - F.col("t.m")) / F.col("all")).alias("outside"))
     both = labelled.join(top, "center")
-    half = config.block // 2
-    ublocks = F.ceil(F.col("outside") / half).cast("long")
-    mblocks = F.ceil(F.col("n") / config.block).cast("long")
+    ublocks = F.ceil(2 * F.col("blocks") * F.col("outside")).cast("long")
+    mblocks = F.col("blocks")
     spread = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     outer = both.where("comp <> top").select("center", "id", "comp", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), ublocks).alias("u"), F.explode(spread(mblocks)).alias("m"))
     inner = both.select("center", "id", "comp", F.lit(1).alias("side"), F.explode(spread(ublocks)).alias("u"), F.pmod(F.xxhash64(F.lit(1), "id"), mblocks).alias("m"))
     rows = outer.unionAll(inner).select(F.xxhash64("center", "u", "m").alias("g"), "side", "id", "comp")
-    return cut(links_in_blocks(rows, payload, config, id_type))
+    return cut(links_in_blocks(rows, payload, config))
 
 
 def links_oracle(shingle: int) -> str:

@@ -155,6 +155,48 @@ def test_large_groups_lose_no_link(spark):
     same(near_duplicates.near_duplicates(df, config=near_duplicates.NearConfig(shingle=4, block=4)), con, near_duplicates.links_oracle(4))
 
 
+def brute_links(rows, k, percent=80):
+    """doc_id -> smallest doc_id reachable: rows of one doc_id are one document, two rows are linked by their sets."""
+    lower = lambda t: t.translate({c: c + 32 for c in range(65, 91)})
+    sets = [(i, {tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))} if (w := re.findall("[^\x20\x09-\x0d]+", lower(t or ""))) else set()) for i, t in rows if i is not None]
+    sets = [(i, x) for i, x in sets if x]
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, x in sets:
+        for j, y in sets:
+            if i < j and 100 * len(x & y) >= percent * len(x | y):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {i: root(i) for i, _ in rows}
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_near_duplicates_with_repeated_ids(spark, monkeypatch, parts):
+    """Rows of one doc_id with different texts are one document: it joins what its texts are near to, however the rows are dealt."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (7, c), (6, c + " z"), (9, c), (9, c), (11, b + " y"), (20, ""), (20, None), (21, "one"), (21, "two"), (22, "two")]
+    df = spark.createDataFrame([(t, i, 1, 2) for i, t in rows], "text string, doc_id long, t int, id int").repartition(parts)
+    want = brute_links(rows, 4)
+    assert want == {1: 1, 2: 1, 3: 1, 11: 1, 6: 6, 7: 6, 9: 6, 20: 20, 21: 21, 22: 21}
+    for bound in (500_000, -1):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+        got = near_duplicates.near_duplicates(df, config=near_duplicates.NearConfig(shingle=4)).collect()
+        assert len(got) == len(rows) and {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, c, i == c) for i, c in want.items()}
+
+
+def test_near_duplicates_of_long_texts(spark):
+    """Blocks of few shingles, sets that are let go of, and ids that are strings."""
+    words = [f"w{i}" for i in range(30_000)]
+    rows = [(f"d{i}", " ".join(words[: 30_000 - 100 * i])) for i in range(4)] + [("e", " ".join(words[::-1]))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), config=near_duplicates.NearConfig(block_shingles=1000)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {"d0": "d0", "d1": "d0", "d2": "d0", "d3": "d0", "e": "e"}
+
+
 def test_pruning_bound():
     assert near_duplicates.least_matches(128, 0.8, 1e-6) < 90 < 128 * 0.8
     total = sum(math.comb(129, m) * 0.8**m * 0.2 ** (129 - m) for m in range(near_duplicates.least_matches(128, 0.8, 1e-6)))
