@@ -14,6 +14,8 @@ from sievework.session import cut
 CELL_ROWS, MAX_CELLS, MAX_SPLIT = 4096, 4096, 65_536
 #: A group of more than 1/WHOLE of a shard's rows or bytes is split, for its rows only beyond LEAST_SPLIT of them.
 WHOLE, LEAST_SPLIT = 4, 8
+#: What evening out the bytes may cost the other dimensions, as a share of a shard; bins tried around the one that would fit best.
+TOLERANCE, NEAR = 0.005, 8
 
 
 def slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,8 +53,11 @@ def assign_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
     room for, is split by doc_id into parts of about half that; others are placed whole. Groups and parts are dealt by hash to cells of about CELL_ROWS rows; each cell packs its groups into
     as many bins as there are shards; then the bins, at most MAX_CELLS * shards of them, are packed into the shards, the
     bins of a cell into different ones where the byte sums allow. Slots count a shard's rows from 0 without gaps, by cell,
-    then doc_id (ties by the text's key). Null texts have size 1 and form the group of empty texts; repeated rows are rows
-    of their own; a null id is kept; an empty table gives no rows; other columns of df, whatever their names, play no part.
+    then doc_id (ties by the text's key). At last bins are moved to even out the bytes, as far as tokens and rows stay balanced.
+
+    Null texts have size 1 and form the group of empty texts. A text larger than a shard's share fills a shard beyond it, as it can't be
+    split; only a text's size and hashes leave its row. Repeated rows are rows of their own; a null id is kept; of equal residual
+    products the lowest shard wins; an empty table gives no rows; other columns of df, whatever their names, play no part.
     """
     spark = df.sparkSession
     rows = cut(slim(df, id_col, text_col))
@@ -64,6 +69,7 @@ def assign_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
     groups = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum("size").alias("b")).where((F.col("n") > most) | ((F.col("n") > 1) & (F.col("b") > heavy)))
     hot = groups.select("k1", "k2", F.least("n", F.ceil(F.greatest(2 * F.col("n") / most, 2 * F.col("b") / max(1, heavy)))).alias("parts"))
     # at most 2 * WHOLE * shards + MAX_SPLIT rows by the condition above
+    hot = cut(hot)
     salted = rows.join(F.broadcast(hot), ["k1", "k2"], "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("parts"))).otherwise(F.lit(0).cast("long")))
     dealt = salted.withColumn("cell", F.pmod(F.xxhash64("k1", "k2", "salt"), F.lit(cells)).cast("int")).select("cell", "doc_id", "size", "text_crc32", "tokens", "k1", "k2", "salt")
 
@@ -93,29 +99,37 @@ def assign_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
 
 
 def settle(w: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
-    """Bins moved or swapped between the fullest and the emptiest shard as long as that brings their bytes nearer."""
+    """Bins moved or swapped between the fullest and the emptiest shard as long as that brings their bytes nearer.
+
+    A move passes only if in no other dimension a shard's distance from the mean grows beyond both TOLERANCE of the mean and
+    the largest distance that the packing left there: the packing's balance of tokens and rows stays.
+    """
     if not len(w):
         return shard
     shard = shard.copy()
-    size = w[:, 0]
-    sums = np.bincount(shard, weights=size, minlength=shards)
+    sums = np.stack([np.bincount(shard, weights=w[:, k], minlength=shards) for k in range(w.shape[1])], axis=1)
+    mean = sums.mean(axis=0)
+    room = np.maximum(np.abs(sums - mean).max(axis=0), TOLERANCE * mean)
     for _ in range(40 * shards):
-        hi, lo = int(sums.argmax()), int(sums.argmin())
-        gap = sums[hi] - sums[lo]
-        a, b = np.flatnonzero(shard == hi), np.concatenate([[-1], np.flatnonzero(shard == lo)])
-        gives = np.sort(size[a])
-        takes = np.where(b >= 0, size[np.maximum(b, 0)], 0.0)
-        near = np.clip(np.searchsorted(gives, takes + gap / 2), 0, len(gives) - 1)
-        near = np.where((near > 0) & (np.abs(gives[np.maximum(near - 1, 0)] - takes - gap / 2) < np.abs(gives[near] - takes - gap / 2)), near - 1, near)
-        left = np.abs(gap - 2 * (gives[near] - takes))
-        k = int(left.argmin())
-        if left[k] >= gap:
+        hi, lo = int(sums[:, 0].argmax()), int(sums[:, 0].argmin())
+        gap = sums[hi, 0] - sums[lo, 0]
+        gives = np.flatnonzero(shard == hi)
+        gives = gives[np.argsort(w[gives, 0], kind="stable")]
+        takes = np.concatenate([[-1], np.flatnonzero(shard == lo)])
+        back = np.where(takes[:, None] >= 0, w[np.maximum(takes, 0)], 0.0)
+        at = np.searchsorted(w[gives, 0], back[:, 0] + gap / 2)
+        # of each bin that may come back (or none) the bins nearest to what would close the gap
+        near = np.clip(at[:, None] + np.arange(-NEAR, NEAR), 0, len(gives) - 1)
+        moved = w[gives[near]] - back[:, None, :]
+        left = np.abs(gap - 2 * moved[:, :, 0])
+        fits = ((np.abs(sums[hi] - moved - mean) <= room) & (np.abs(sums[lo] + moved - mean) <= room))[:, :, 1:].all(axis=2)
+        left = np.where(fits, left, np.inf)
+        k, j = np.unravel_index(int(left.argmin()), left.shape)
+        if left[k, j] >= gap:
             break
-        i = a[np.argsort(size[a], kind="stable")[near[k]]]
-        moved = size[i] - takes[k]
-        shard[i] = lo
-        if b[k] >= 0:
-            shard[b[k]] = hi
-        sums[hi] -= moved
-        sums[lo] += moved
+        shard[gives[near[k, j]]] = lo
+        if takes[k] >= 0:
+            shard[takes[k]] = hi
+        sums[hi] -= moved[k, j]
+        sums[lo] += moved[k, j]
     return shard
