@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -27,12 +28,39 @@ def build_session(app: str = "sievework", master: str | None = None, shuffle_par
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; set an own one only where it is unset."""
+    """Use the shared folder that the cluster names in spark.checkpoint.dir; an own one only where it is unset and all runs in this process."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "sievework-checkpoints"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own_folder(sc.master))
+
+
+def own_folder(master: str) -> str:
+    """A folder of this machine; no cluster may use one, as its executors see other disks."""
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "sievework-checkpoints")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place below the shared folder; what is written there goes when the driver's process ends."""
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{os.urandom(8).hex()}"
+    atexit.register(remove_folder, spark, at)
+    return at
+
+
+def remove_folder(spark: SparkSession, at: str) -> None:
+    """Remove a place of shared_folder(); nothing is done once the session has ended."""
+    if spark.sparkContext._jsc is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: its lineage is cut, and later reads take only the columns they need."""
+    at = shared_folder(df.sparkSession, "table")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def cut(df: DataFrame) -> DataFrame:
