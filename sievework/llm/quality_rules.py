@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.session import cut
+from sievework.session import cut, stored
 
 GRAM = 5
 WHITE = r"[\x20\x09-\x0D]+"  # fixed pattern of what separates words
@@ -44,19 +44,34 @@ def statistics(df: DataFrame, *keep: str) -> DataFrame:
 #: Feature -> least standard deviation, so that a feature that hardly varies doesn't reject small differences.
 FEATURES = {"f_words": 1.0, "f_length": 0.08, "f_symbols": 0.03, "f_repeats": 0.04}
 SHARE = 0.5  # of a group's rows that the estimate rests on: nearly half may be outliers
-STEPS = 3  # concentration steps
-TAIL = 1e-9  # share of a normal group that lies beyond the cutoff
+STARTS = 4  # first estimates: one by medians, the others by small subsets
+SUBSET = 12  # rows of such a subset, on average; the least that spans the space is one more than there are features
+STEPS = 3  # concentration steps of each start
+LAST_STEPS = 2  # further steps of the start with the least determinant
+TAIL = 1e-9  # share of a normal group that lies beyond the cutoff; far out, as the statistics of prose have longer tails than that
 MIN_ROWS = 40  # smaller groups are judged by the estimate of their language, and in a language with fewer rows by that of all rows
 BROADCAST_GROUPS = 100_000  # estimates of up to so many groups are broadcast, 200 bytes each
+BINS = 1024  # histogram bins of a unit, for medians; of a doubling, an eighth of that
 
 
 def chi2_cdf(x: float, df: int) -> float:
-    """Of an even number of degrees of freedom."""
-    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(df // 2))
+    """The regularised lower incomplete gamma function of df / 2 at x / 2, by its series."""
+    a, x = df / 2, x / 2
+    if x <= 0:
+        return 0.0
+    if x > 700:
+        return 1.0
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-17:
+        n += 1
+        term *= x / n
+        total += term
+    return min(1.0, total * math.exp(a * math.log(x) - x - math.lgamma(a)))
 
 
 def chi2_quantile(q: float, df: int) -> float:
-    lo, hi = 0.0, 1e4
+    lo, hi = 0.0, 1400.0
     for _ in range(200):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if chi2_cdf(mid, df) < q else (lo, mid)
@@ -86,32 +101,77 @@ def distance(rows: DataFrame, scale: float = 1.0) -> DataFrame:
 
 
 def covariance(rows: DataFrame) -> DataFrame:
-    """Of each g the means m_i and the Cholesky factors c_i_j of the covariance, with the least variances added."""
+    """Of each g and start the means m_i, the Cholesky factors c_i_j of the covariance with the least variances added, and ld, the logarithm of its determinant."""
     names = list(FEATURES)
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    out = rows.groupBy("g").agg(*(F.avg(f).alias(f"m_{i}") for i, f in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"s_{i}_{j}") for i, j in pairs))
+    out = rows.groupBy("g", "start").agg(*(F.avg(f).alias(f"m_{i}") for i, f in enumerate(names)), *(F.covar_pop(names[i], names[j]).alias(f"s_{i}_{j}") for i, j in pairs))
     for j, f in enumerate(names):
         for i in range(j, len(names)):
             rest = F.col(f"s_{i}_{j}") + (FEATURES[f] ** 2 if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"c_{i}_{k}") * F.col(f"c_{j}_{k}")
             out = out.withColumn(f"c_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"c_{j}_{j}"))
-    return out.select("g", *(f"m_{i}" for i in range(len(names))), *(f"c_{i}_{j}" for i, j in pairs))
+    return with_determinant(out.select("g", "start", *(f"m_{i}" for i in range(len(names))), *(f"c_{i}_{j}" for i, j in pairs)))
 
 
-def robust_estimates(rows: DataFrame, few: bool, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Minimum covariance determinant of each g, by concentration: from medians and median deviations on, the rows with the
-    smallest distances, a share of each group, give the next means and covariances. Sums and quantile sketches are merged
-    from partial ones, so a group of any size spreads over all tasks."""
+def with_determinant(est: DataFrame) -> DataFrame:
+    return est.withColumn("ld", sum((F.log(f"c_{i}_{i}") for i in range(1, len(FEATURES))), F.log("c_0_0")) * 2)
+
+
+def quantile(rows: DataFrame, by: list[str], bin_: Column, q: float) -> DataFrame:
+    """by's columns and at, the least bin up to which a share q of the rows lies.
+
+    Counts of bins are merged from partial ones in any order with one result; a group has a bounded number of bins, however many rows.
+    """
+    counts = rows.groupBy(*by, bin_.alias("at")).agg(F.count("*").alias("n"))
+    up = Window.partitionBy(*by).orderBy("at")
+    summed = counts.withColumns({"below": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy(*by))})
+    return summed.where(F.col("below") >= q * F.col("all")).groupBy(*by).agg(F.min("at").alias("at"))
+
+
+def medians(rows: DataFrame, values: list[Column]) -> DataFrame:
+    """g and at_i, the median of each value, to 1 / BINS."""
+    each = rows.select("g", F.posexplode(F.array(*values)).alias("i", "v"))
+    at = quantile(each, ["g", "i"], F.floor(F.col("v") * BINS), 0.5)
+    return at.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, (F.col("at") + 0.5) / BINS)).alias(f"at_{i}") for i in range(len(values))))
+
+
+def first_estimates(rows: DataFrame, few: bool) -> DataFrame:
+    """Estimates by g and start: start 0 by medians and median deviations, each other one by a subset of some SUBSET rows.
+
+    Subsets are chosen by a hash of the row's features: alike in every run, and without sorting a group.
+    """
     names = list(FEATURES)
-    med = cut(rows.groupBy("g").agg(*(F.percentile_approx(f, 0.5).alias(f"m_{i}") for i, f in enumerate(names))))
-    mad = cut(with_estimates(rows, med, few).groupBy("g").agg(*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(names))), *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5).alias(f"a_{i}") for i, f in enumerate(names))))
-    est = mad.select("g", *(f"m_{i}" for i in range(len(names))), *((F.greatest(F.lit(1.4826) * F.col(f"a_{i}"), F.lit(FEATURES[f])) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, f in enumerate(names) for j in range(i + 1)))
+    med = cut(medians(rows, [F.col(f) for f in names]))
+    mad = cut(medians(with_estimates(rows, med, few), [F.abs(F.col(f) - F.col(f"at_{i}")) for i, f in enumerate(names)]))
+    spread = mad.select("g", *(F.col(f"at_{i}").alias(f"a_{i}") for i in range(len(names))))
+    scale = lambda i, j: F.greatest(F.lit(1.4826) * F.col(f"a_{i}"), F.lit(FEATURES[names[i]])) if i == j else F.lit(0.0)
+    start = med.join(spread, "g").select("g", F.lit(0).alias("start"), *(F.col(f"at_{i}").alias(f"m_{i}") for i in range(len(names))), *(scale(i, j).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i + 1)))
+    sizes = cut(rows.groupBy("g").agg(F.count("*").alias("size")))
+    chance = F.pmod(F.xxhash64("start", *names), F.lit(1 << 30)) / (1 << 30)
+    others = with_estimates(rows, sizes, few).withColumn("start", F.explode(F.array(*(F.lit(k) for k in range(1, STARTS))))).where(chance * F.col("size") < SUBSET)
+    return with_determinant(start).unionByName(covariance(others))
+
+
+def concentrate(rows: DataFrame, est: DataFrame, few: bool, share: float) -> DataFrame:
+    """One step for each g and start: the rows with the smallest distances, a share of each group, give the next means and covariances."""
+    far = distance(with_estimates(rows, est.drop("ld"), few)).select("g", "start", *FEATURES, F.floor(F.log2(F.col("d2") + 1.0) * (BINS // 8)).alias("at"))
+    limit = cut(quantile(far, ["g", "start"], F.col("at"), share)).withColumnRenamed("at", "limit")
+    side = F.broadcast(limit) if few else limit
+    return cut(covariance(far.join(side, ["g", "start"]).where(F.col("at") <= F.col("limit"))))
+
+
+def robust_estimates(rows: DataFrame, few: bool, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """Minimum covariance determinant of each g: concentration steps from several starts, then more of them from the start whose covariance
+    has the least determinant. Sums and histograms are merged from partial ones, so a group of any size spreads over all tasks."""
+    est = cut(first_estimates(rows, few))
     for _ in range(steps):
-        far = distance(with_estimates(rows, est, few)).select("g", *names, "d2")
-        limit = cut(far.groupBy("g").agg(F.percentile_approx("d2", share).alias("limit")))
-        est = cut(covariance(with_estimates(far, limit, few).where(F.col("d2") <= F.col("limit"))))
-    return est
+        est = concentrate(rows, est, few, share)
+    for _ in range(LAST_STEPS):
+        values = [c for c in est.columns if c not in ("g", "ld")]
+        best = est.groupBy("g").agg(F.min(F.struct("ld", *values)).alias("b"))
+        est = concentrate(rows, best.select("g", *(f"b.{c}" for c in values), "b.ld"), few, share)
+    return est.drop("start", "ld")
 
 
 def with_group(df: DataFrame, text_col: str, lang_col: str, source_col: str, *keep) -> DataFrame:
@@ -145,29 +205,37 @@ def with_verdict(rows: DataFrame, est: DataFrame, few: bool) -> DataFrame:
     own, lang = named("g0", "own"), named("g1", "lang")
     overall = est.where("g = 0").select(*(F.col(c).alias(f"all_{c}") for c in values))  # one row at most
     joined = rows.join(F.broadcast(own) if few else own, "g0", "left").join(F.broadcast(lang) if few else lang, "g1", "left").join(F.broadcast(overall), F.lit(True), "left")
-    far = distance(joined.withColumns({c: F.coalesce(f"own_{c}", f"lang_{c}", f"all_{c}") for c in values}), shrunk)
+    by = F.when(F.col("own_m_0").isNotNull(), "source").when(F.col("lang_m_0").isNotNull(), "language").when(F.col("all_m_0").isNotNull(), "all")
+    # the values of a row come from one estimate
+    chosen = {c: F.when(F.col("own_m_0").isNotNull(), F.col(f"own_{c}")).when(F.col("lang_m_0").isNotNull(), F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")) for c in values}
+    far = distance(joined.withColumns(chosen | {"estimate": by}), shrunk)
     far = far.withColumn("outlier", ~F.col("base_failed") & F.coalesce(F.col("d2") > chi2_quantile(1 - TAIL, p), F.lit(False)))
     return far.withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row for each row of df: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, outlier, kept.
+    """One row for each row of df: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, outlier, estimate, kept.
 
     base_failed: fewer than 10 words, or more than a fifth of the words in repeated 5-word windows. outlier: the squared
     Mahalanobis distance of the transformed statistics lies beyond the cutoff of the row's language and source; of groups
-    with fewer than MIN_ROWS rows, of their language; of languages with fewer, of all rows. Estimates rest on rows that the base keeps. Null and empty texts have no
-    words and fail the base; null languages or sources are groups of their own; repeated rows give repeated results; an
-    empty table gives no rows; other columns, whatever their names, play no part.
+    with fewer than MIN_ROWS rows, of their language; of languages with fewer, of all rows. estimate names which of them judged
+    the row (source, language, all; null if no row passes the base). Estimates rest on all rows that the base keeps.
+
+    Null and empty texts have no words and fail the base; null languages or sources are groups of their own. Statistics of a text of any
+    length are counted whole, within its row. A distance of exactly the cutoff is no outlier; repeated rows count each and are judged
+    alike; a null id is kept as it is; an empty table gives no rows; other columns, whatever their names, play no part.
     """
-    rows = cut(with_base(statistics(with_group(df, text_col, lang_col, source_col, F.col(id_col).alias("doc_id")), "doc_id", "g0", "g1")))
+    rows = stored(with_base(statistics(with_group(df, text_col, lang_col, source_col, F.col(id_col).alias("doc_id")), "doc_id", "g0", "g1")))
     est, few = fit(rows)
-    return with_verdict(rows, est, few).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "outlier", "kept")
+    return with_verdict(rows, est, few).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "outlier", "estimate", "kept")
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of df, all columns as they are, that judge() keeps. The statistics are counted again beside the text, so texts aren't shuffled."""
-    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), "*").select("row", F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(source_col).alias("s"))
-    est, few = fit(cut(with_base(statistics(with_group(whole, "t", "l", "s"), "g0", "g1")).select("g0", "g1", "base_failed", *FEATURES)))
-    rows = with_verdict(with_base(statistics(with_group(whole, "t", "l", "s", "row"), "row", "g0", "g1")), est, few)
-    # the filter must stay above the verdict: pushed below, it would hold each step's expressions many times over
-    return rows.select("row", "kept", F.monotonically_increasing_id().alias("n")).where("kept and n >= 0").select("row.*")
+    """The rows of df, all columns as they are, that judge() keeps, in its terms also on odd rows.
+
+    The statistics are written once beside the rows; the estimates read them alone, and the verdict is taken as the rows are read again.
+    """
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l"), F.col(f"`{source_col}`").alias("s"))
+    rows = stored(with_base(statistics(with_group(whole, "t", "l", "s", "row"), "row", "g0", "g1")).select("row", "g0", "g1", "base_failed", *FEATURES))
+    est, few = fit(rows)
+    return with_verdict(rows, est, few).where("kept").select("row.*")

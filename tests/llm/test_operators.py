@@ -363,7 +363,67 @@ def test_robust_distances(spark):
     d2 = [r["d2"] for r in quality_rules.distance(quality_rules.with_estimates(rows, spark.createDataFrame([est]), True)).orderBy(*quality_rules.FEATURES).collect()]
     want = sorted((v - mean) @ np.linalg.inv(chol @ chol.T) @ (v - mean) for v in x)
     assert np.allclose(sorted(d2), want) and min(sorted(d2)[900:]) > 10 * sorted(d2)[890]
-    assert abs(quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.75, 4), 4) - 0.75) < 1e-9
+
+
+def test_chi_squared():
+    """The distribution with 2 degrees of freedom is exponential; with one it is that of a squared normal variable."""
+    for x in (0.1, 1.0, 5.0, 40.0):
+        assert abs(quality_rules.chi2_cdf(x, 2) - (1 - math.exp(-x / 2))) < 1e-12
+        assert abs(quality_rules.chi2_cdf(x, 1) - math.erf(math.sqrt(x / 2))) < 1e-12
+        assert abs(quality_rules.chi2_cdf(x, 4) - (1 - math.exp(-x / 2) * (1 + x / 2))) < 1e-12
+    for p in (1, 3, 4):
+        assert abs(quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.75, p), p) - 0.75) < 1e-9
+
+
+def brute_mcd(x, ridge, seeds=300):
+    """The least determinant of the covariance (with ridge) of half of the rows, from many random starts with steps until nothing changes."""
+    rng, h, best = np.random.default_rng(9), -(-len(x) // 2), np.inf
+    cov = lambda y: np.cov(y.T, bias=True) + np.diag(ridge)
+    for _ in range(seeds):
+        y = x[rng.choice(len(x), x.shape[1] + 1, replace=False)]
+        for _ in range(50):
+            d = y.mean(axis=0)
+            z = x - d
+            new = x[np.argsort((z @ np.linalg.inv(cov(y)) * z).sum(axis=1), kind="stable")[:h]]
+            if new.shape == y.shape and (new == y).all():
+                break
+            y = new
+        best = min(best, np.linalg.slogdet(cov(y))[1])
+    return best
+
+
+def test_least_determinant(spark):
+    """Of two groups, one of them two far clouds of which medians see the middle, the determinant is near the least that brute force finds."""
+    rng = np.random.default_rng(4)
+    p = len(quality_rules.FEATURES)
+    groups = [np.concatenate([rng.normal(0, 1.0, (330, p)), rng.normal(7, 2.0, (270, p))]), rng.normal(size=(500, p)) @ rng.normal(size=(p, p))]
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, x in enumerate(groups) for r in x], "g long, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES))
+    got = {r["g"]: 2 * sum(math.log(r[f"c_{i}_{i}"]) for i in range(p)) for r in quality_rules.robust_estimates(rows, True).collect()}
+    for g, x in enumerate(groups):
+        least = brute_mcd(x, [v**2 for v in quality_rules.FEATURES.values()])
+        assert abs(got[g] - least) < 0.2, (g, got[g], least)
+    first = quality_rules.first_estimates(rows, True)
+    assert first.count() == 2 * quality_rules.STARTS
+    again = {r["g"]: r["m_0"] for r in quality_rules.robust_estimates(rows.repartition(7), True).collect()}
+    for r in quality_rules.robust_estimates(rows, True).collect():
+        assert abs(again[r["g"]] - r["m_0"]) < 1e-9
+
+
+def test_verdict_against_matrix_algebra(spark, sf):
+    """kept follows from the estimate that the row names, by the distances of matrix algebra; ties at the cutoff stay."""
+    rows = quality_rules.with_base(quality_rules.statistics(quality_rules.with_group(table(spark, "/root/testdata/sf0.1", "documents"), "text", "lang", "source", "doc_id"), "doc_id", "g0", "g1")).cache()
+    est, few = quality_rules.fit(rows)
+    by = {r["g"]: r for r in est.collect()}
+    p = len(quality_rules.FEATURES)
+    factor = quality_rules.SHARE / quality_rules.chi2_cdf(quality_rules.chi2_quantile(quality_rules.SHARE, p), p + 2)
+    limit = quality_rules.chi2_quantile(1 - quality_rules.TAIL, p)
+    for r in quality_rules.with_verdict(rows, est, few).collect():
+        e = by.get(r["g0"], by.get(r["g1"], by[0]))
+        assert r["estimate"] == ("source" if r["g0"] in by else "language" if r["g1"] in by else "all")
+        z = np.array([r[f] - e[f"m_{i}"] for i, f in enumerate(quality_rules.FEATURES)])
+        c = np.array([[e[f"c_{i}_{j}"] if j <= i else 0.0 for j in range(p)] for i in range(p)])
+        d2 = z @ np.linalg.inv(c @ c.T) @ z / factor
+        assert r["kept"] == (not r["base_failed"] and d2 <= limit), (r["doc_id"], d2, limit)
 
 
 @pytest.mark.parametrize("share", [0.3, 0.45])
