@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import id_and_text
-from sievework.session import cut
+from sievework.llm.common import id_and_text, if_small
+from sievework.session import cut, stored
 
 WINDOW, SLOP = 13, 3
-#: Test windows up to this number are broadcast; beyond it postings and windows meet by a shuffle on the term.
-BROADCAST_WINDOWS = 500_000
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # fixed pattern of what separates words, after lower-casing A-Z
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,45 +27,63 @@ def test_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return wins.groupBy("win").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64("win").alias("win_id"), "win", F.size("win").alias("n"), "items")
 
 
-def rarest_terms(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
-    """The windows with the offset of their rarest term (term, off) and the next rarest one (term2), by occurrences in docs.
+def positional_index(docs: DataFrame) -> DataFrame:
+    """The stored index, a row for each row of docs: r (a number), doc_id, n_words, terms (distinct, in order), postings (of each term its positions, ascending).
 
-    Windows with a term that docs lack are left out: they can't occur there.
+    Lists are kept by document, as segments of a distributed index are: nothing is shuffled to build them, and a hot term's list is as
+    long as its document allows at most.
+    """
+    words = docs.select("doc_id", words_of(F.col("text")).alias("w"))
+    places = words.select("doc_id", F.size("w").alias("n_words"), F.sort_array(F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("pos")))).alias("s"))
+    begins = F.filter(F.transform("s", lambda x, i: F.when(F.coalesce(F.get(F.col("s"), i - 1)["term"] != x["term"], F.lit(True)), i)), lambda i: i.isNotNull())
+    runs = places.select("doc_id", "n_words", "s", begins.alias("b"))
+    terms = F.transform("b", lambda i: F.get(F.col("s"), i)["term"])
+    postings = F.transform("b", lambda i, k: F.transform(F.slice(F.col("s"), i + 1, F.coalesce(F.get(F.col("b"), k + 1), F.size("s")) - i), lambda x: x["pos"]))
+    return stored(runs.select(F.monotonically_increasing_id().alias("r"), "doc_id", "n_words", terms.alias("terms"), postings.alias("postings")))
+
+
+def rarest_first(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """The windows with their rarest term by occurrences in the index (term, off) and the other ones from rare to frequent (rest: off, term).
+
+    Windows with a term that the index lacks are left out: they can't occur there.
     """
     terms = windows.select("win_id", "win", F.posexplode("win").alias("off", "term"))
-    vocab = terms.select("term").distinct()
-    tokens = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
-    df = tokens.join(F.broadcast(vocab) if small else vocab, "term").groupBy("term").agg(F.count("*").alias("df"))
+    vocab = cut(terms.select("term").distinct())
+    lists = index.select(F.posexplode("terms").alias("k", "term"), "postings").select("term", F.size(F.get(F.col("postings"), F.col("k"))).alias("n"))
+    df = lists.join(if_small(vocab, F.octet_length("term")), "term").groupBy("term").agg(F.sum("n").alias("df"))
     ranked = terms.join(df, "term", "left").groupBy("win_id", "win").agg(F.min(F.coalesce("df", F.lit(0))).alias("least"), F.sort_array(F.collect_list(F.struct("df", "off", "term"))).alias("by_df"))
-    first, second = F.col("by_df")[0], F.get(F.col("by_df"), F.lit(1))
-    return windows.join(ranked.where(F.col("least") > 0).select("win_id", "win", first["term"].alias("term"), first["off"].alias("off"), F.coalesce(second["term"], first["term"]).alias("term2")), ["win_id", "win"])
+    first = F.col("by_df")[0]
+    rest = F.transform(F.slice("by_df", F.lit(2), F.size("by_df")), lambda x: F.struct(x["off"].alias("off"), x["term"].alias("term")))
+    return windows.join(ranked.where(F.col("least") > 0).select("win_id", "win", first["term"].alias("term"), first["off"].alias("off"), rest.alias("rest")), ["win_id", "win"])
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame, small: bool, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """doc_id, n_words and, for a match, start, n, items, win_id, exact; each document has one row at least.
+def find_matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame:
+    """A row for each row of the index and window that match there: r, win_id, n (words), items, exact (starts), near (starts).
 
-    The postings of the windows' rarest terms, as (document, position), meet the windows on the term; the other terms'
-    positions are intersected at their offsets. Exact: all terms stand there in order. Proximity: not exact, but all terms stand within
-    slop words of the window's place. A posting brings the words around it, so nothing but matches leaves the join.
+    The list of the window's rarest term, shifted by its offset, holds the places where the window may begin. The other terms' lists
+    are intersected with it one by one, from rare to frequent, until none is left. exact: each list has the place's word at its
+    offset. near: each list has a position within slop words of that; exact places are near, too. Windows that are small together are
+    broadcast, and each document's lists are intersected where they are stored; else the lists of the rarest terms meet the windows by
+    a shuffle, and only documents with such places send their other lists.
     """
-    tokens = docs.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", "words", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "term"))
-    reach = window + slop
-    if small:
-        idx, ctx, base = F.broadcast(windows), F.col("words"), F.lit(0)
+    size = 2 * F.octet_length(F.array_join("win", " ")) + 40 * F.col("n") + 16 * F.size("items")
+    side = if_small(windows, size)
+    if side is not windows:
+        met = index.select("r", "terms", "postings", F.posexplode("terms").alias("k", "term")).join(side, "term")
+        starts = F.transform(F.get(F.col("postings"), F.col("k")), lambda p: p - F.col("off"))
     else:
-        idx = windows
-        tokens = tokens.select("doc_id", "n_words", "pos", "term", F.greatest(F.col("pos") - reach, F.lit(0)).alias("base"), F.slice("words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("ctx"))
-        ctx, base = F.col("ctx"), F.col("base")
-    start = F.col("pos") - F.col("off")
-    exact = (start >= 0) & (F.slice(ctx, F.greatest(start - base, F.lit(0)) + 1, F.col("n")) == F.col("win"))
-    low = F.greatest(start - slop, F.lit(0))
-    around = F.slice(ctx, F.greatest(low - base, F.lit(0)) + 1, start + F.col("n") + slop - low)
-    near = F.array_contains(around, F.col("term2")) & (F.size(F.array_except("win", around)) == 0)
-    met = tokens.join(idx, "term", "left").withColumn("exact", F.when(F.col("win").isNull(), F.lit(None)).when(exact, F.lit(True)).when(near, F.lit(False)))
-    hit = F.col("exact").isNotNull()
-    return met.where(hit | F.col("pos").isNull() | (F.col("pos") == 0)).select(
-        "doc_id", "n_words", F.when(hit, start).alias("start"), F.when(hit, F.col("n")).alias("n"), F.when(hit, F.col("items")).alias("items"), F.when(hit, F.col("win_id")).alias("win_id"), "exact"
-    )
+        rarest = cut(windows.select("term").distinct())
+        lists = index.select("r", F.posexplode("terms").alias("k", "term"), "postings").join(if_small(rarest, F.octet_length("term")), "term", "left_semi")
+        lists = lists.select("r", "term", F.get(F.col("postings"), F.col("k")).alias("list"))
+        met = lists.join(windows, "term").join(index.select("r", "terms", "postings"), "r")
+        starts = F.transform("list", lambda p: p - F.col("off"))
+    of = lambda t: F.coalesce(F.get(F.col("postings"), (F.array_position(F.col("terms"), t["term"]) - 1).cast("int")), F.array().cast("array<int>"))
+    about = lambda t, d: F.flatten(F.transform(of(t), lambda p: F.sequence(p - t["off"] - d, p - t["off"] + d)))
+    rest = F.col("rest")
+    near = F.aggregate(rest, starts, lambda acc, t: F.when(F.size(acc) == 0, acc).otherwise(F.array_intersect(acc, about(t, slop))))
+    exact = F.aggregate(rest, F.filter("near", lambda s: s >= 0), lambda acc, t: F.when(F.size(acc) == 0, acc).otherwise(F.array_intersect(acc, F.transform(of(t), lambda p: p - t["off"]))))
+    met = met.select("r", "win_id", "n", "items", "rest", "terms", "postings", near.alias("near")).where(F.size("near") > 0)
+    return met.select("r", "win_id", "n", "items", exact.alias("exact"), "near")
 
 
 def covered(spans: Column) -> Column:
@@ -77,30 +93,35 @@ def covered(spans: Column) -> Column:
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """One row for each doc_id of df: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (windows met only in proximity).
+    """One row for each row of df: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (windows met only in proximity).
+
+    n_hit, n_items and contaminated rest on exact matches alone.
 
-    Null and empty texts, of either side, have no words; items without words have no windows. Rows with one doc_id (or with
-    none) make one document whose hits are joined by position and whose n_words is the longest row's. Repeated items count
-    once by item_id, items with a null item_id only as hits. An empty benchmark contaminates nothing; an empty df gives no rows; other columns, whatever
-    their names, play no part. The windows are broadcast only if at most BROADCAST_WINDOWS were counted.
+    Null and empty texts, of either side, have no words; items without words have no windows. Texts of any length are indexed whole; a
+    term's list never leaves its document's row. Rows with one doc_id, or with none, are judged one by one. Repeated items count
+    once by item_id, items with a null item_id only as hits. Of equally rare terms the window's first one begins. An empty benchmark
+    contaminates nothing; an empty df gives no rows; other columns, whatever their names, play no part.
     """
-    docs = id_and_text(df, id_col, text_col)
+    index = positional_index(id_and_text(df, id_col, text_col))
     windows = cut(test_windows(id_and_text(benchmark, item_col, item_text_col), window))
-    small = windows.count() <= BROADCAST_WINDOWS
-    ready = cut(rarest_terms(docs, windows, small))
-    met = phrase_matches(docs, ready, small, window, slop)
-    by_doc = met.groupBy("doc_id").agg(
+    found = find_matches(index, cut(rarest_first(index, windows)), slop)
+    spans = F.transform("exact", lambda s: F.struct(s.alias("start"), F.col("n").alias("n")))
+    hit = F.size("exact") > 0
+    rows = index.select("r", "doc_id", "n_words", F.lit(None).cast("array<struct<start:int,n:int>>").alias("spans"), F.lit(None).cast(windows.schema["items"].dataType).alias("items"), F.lit(0).alias("near_only"))
+    matches = found.select("r", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("int").alias("n_words"), spans.alias("spans"), F.when(hit, F.col("items")).alias("items"), F.when(hit, 0).otherwise(1).alias("near_only"))
+    by_row = rows.unionAll(matches).groupBy("r").agg(
+        F.max("doc_id").alias("doc_id"),
         F.max("n_words").cast("long").alias("n_words"),
-        F.sort_array(F.collect_set(F.when(F.col("exact"), F.struct("start", "n")))).alias("spans"),
-        F.collect_set(F.when(F.col("exact"), F.col("items"))).alias("items"),
-        F.size(F.collect_set(F.when(~F.col("exact"), F.col("win_id")))).cast("long").alias("n_near"),
+        F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("ids"),
+        F.sum("near_only").alias("n_near"),
     )
-    ids = F.array_distinct(F.flatten("items"))
-    out = by_doc.select("doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.transform(ids, lambda x: x.cast("string"))), ",").cast("binary"), 256).alias("items_sha256"), "n_near")
+    digest = F.sha2(F.array_join(F.sort_array(F.transform("ids", lambda x: x.cast("string"))), ",").cast("binary"), 256)
+    out = by_row.select("doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "n_near")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-#: The windows' exact matches and the proximity rule, told without an index: each window against each place of each document.
+#: Without an index: each window against each place of each document, and for proximity each word against all places of its document's like words.
 ORACLE = r"""
 WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 bw AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -112,8 +133,18 @@ hits AS (SELECT p.doc_id, p.spot, s.n, wins.item_id
   FROM places p CROSS JOIN sizes s JOIN wins ON wins.n = s.n AND wins.win = array_to_string(list_slice(p.w, p.spot, p.spot + s.n - 1), ' ')
   WHERE p.spot + s.n - 1 <= len(p.w)),
 cover AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(spot, spot + n)) AS pos FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id),
+tokens AS (SELECT doc_id, spot - 1 AS pos, w[spot] AS term FROM places),
+df AS (SELECT term, count(*) AS df FROM tokens GROUP BY term),
+wt AS (SELECT win, n, unnest(range(0, n::BIGINT)) AS off, unnest(string_split(win, ' ')) AS term FROM (SELECT DISTINCT win, n FROM wins)),
+rare AS (SELECT win, term, off FROM wt JOIN df USING (term) QUALIFY row_number() OVER (PARTITION BY win ORDER BY df, off) = 1),
+starts AS (SELECT doc_id, win, pos - off AS at FROM tokens JOIN rare USING (term)),
+nears AS (SELECT doc_id, win FROM (
+    SELECT s.doc_id, s.win, s.at FROM starts s JOIN wt ON wt.win = s.win JOIN tokens t ON t.doc_id = s.doc_id AND t.term = wt.term AND t.pos BETWEEN s.at + wt.off - 3 AND s.at + wt.off + 3
+    GROUP BY s.doc_id, s.win, s.at, wt.n HAVING count(DISTINCT wt.off) = wt.n) GROUP BY ALL),
+near AS (SELECT doc_id, count(*) AS n_near FROM (SELECT doc_id, win FROM nears EXCEPT
+    SELECT h.doc_id, w.win FROM hits h JOIN wins w ON w.item_id IS NOT DISTINCT FROM h.item_id AND w.n = h.n JOIN dw ON dw.doc_id = h.doc_id AND w.win = array_to_string(list_slice(dw.w, h.spot, h.spot + h.n - 1), ' ')) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
 """

@@ -119,17 +119,55 @@ def test_bitmaps_give_the_texts(odd):
 
 def test_contamination_on_odd_rows(spark, odd, duck, monkeypatch):
     bench = spark.createDataFrame([(i, t, "x") for i, t in BENCH], "item_id long, text string, term string")
-    same(contamination.find_contamination(odd, bench), duck, contamination.ORACLE, drop=("n_near",))
-    monkeypatch.setattr(contamination, "BROADCAST_WINDOWS", -1)  # the way beyond the bound
-    same(contamination.find_contamination(odd, bench), duck, contamination.ORACLE, drop=("n_near",))
+    same(contamination.find_contamination(odd, bench), duck, contamination.ORACLE)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)  # the way beyond the bound
+    same(contamination.find_contamination(odd, bench), duck, contamination.ORACLE)
     assert not contamination.find_contamination(odd, bench.where("false")).where("n_hit > 0").count()
 
 
-def test_proximity(spark):
+def test_positional_index(odd):
+    """The stored lists are those of the words' places, and no text is kept beside them."""
+    index = contamination.positional_index(contamination.id_and_text(odd, "doc_id", "text"))
+    assert index.columns == ["r", "doc_id", "n_words", "terms", "postings"]
+    texts = dict(ROWS)
+    for r in index.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (texts[r["doc_id"]] or "").translate({c: c + 32 for c in range(65, 91)}))
+        places = collections.defaultdict(list)
+        for i, w in enumerate(words):
+            places[w].append(i)
+        assert r["n_words"] == len(words) and r["terms"] == sorted(places) and dict(zip(r["terms"], r["postings"])) == places
+
+
+def test_proximity(spark, monkeypatch):
+    """Windows whose words stand within the slop of their places, against each place of each document."""
+    rng = random.Random(11)
     words = [f"w{i}" for i in range(13)]
-    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:6] + ["odd"] + words[6:])), (3, " ".join(words[:5]))], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in contamination.find_contamination(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
-    assert got == {1: (13, 0), 2: (0, 1), 3: (0, 0)}
+    moved = [words, words[:6] + ["odd"] + words[6:], words[:5], words[:6] + ["odd"] * 4 + words[6:], ["x"] + words[::-1], [w for i in range(0, 12, 2) for w in (words[i + 1], words[i])] + [words[12]]]
+    for _ in range(60):
+        w = list(words)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(w))
+            w.insert(rng.randrange(len(w)), rng.choice(["odd", w.pop(at)]))
+        moved.append(["odd"] * rng.randint(0, 3) + w + ["w3"] * rng.randint(0, 2))
+    items = [(1, words), (2, words[:4])]
+    tf = collections.Counter(x for w in moved for x in w)
+
+    def brute(doc, win):
+        places = collections.defaultdict(list)
+        for i, w in enumerate(doc):
+            places[w].append(i)
+        rare = min(range(len(win)), key=lambda k: (tf[win[k]], k))
+        starts = [p - rare for p in places[win[rare]]]
+        exact = any(doc[s : s + len(win)] == win for s in starts if s >= 0)
+        return exact, any(all(any(abs(p - k - s) <= 3 for p in places[x]) for k, x in enumerate(win)) for s in starts)
+
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(moved)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    want = {i: sum(n and not e for e, n in (brute(d, w) for _, w in items)) for i, d in enumerate(moved)}
+    assert want[0] == 0 and want[1] == 1 and want[3] == 0 and sum(want.values()) > 10
+    for bound in (500_000, -1):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+        assert {r["doc_id"]: r["n_near"] for r in contamination.find_contamination(df, bench).collect()} == want
 
 
 @pytest.mark.parametrize("block", [1024, 3])
@@ -474,7 +512,7 @@ def test_null_ids_and_repeated_rows(spark):
         assert out.count() == len(rows)
     near = near_duplicates.near_duplicates(df).collect()
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in near} == {(None, None, True), (1, 1, True), (2, 1, False)}
-    assert contamination.find_contamination(df, spark.createDataFrame([(1, t)], "item_id long, text string")).where("contaminated").count() == 3
+    assert contamination.find_contamination(df, spark.createDataFrame([(1, t)], "item_id long, text string")).where("contaminated").count() == len(rows)
 
 
 def test_pipeline(spark, sf):
