@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import id_and_text, map_texts
 
-#: Bounds of the fit: labelled rows of a class for its dictionary and for the calibration, bytes of a dictionary.
-DICT_ROWS, CALIBRATION_ROWS, DICT_BYTES = 2000, 2000, 500_000
+#: Bounds of the fit: labelled rows of a class for its dictionary and for the calibration; bytes of a dictionary, and of one of its texts.
+DICT_ROWS, CALIBRATION_ROWS, DICT_BYTES, TEXT_BYTES = 2000, 2000, 500_000, 10_000
 LEVEL = 6
 SEGMENT = 32_768  # bytes compressed at once, each time anew with the whole dictionary, so that it weighs the same throughout a long text
 SHRINK = 100  # bytes added to a text's size, so that a few bytes weigh little in short texts
@@ -58,17 +58,6 @@ class QualityModel:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * math.asinh(x / self.scale) + self.intercept))))
 
 
-def dictionary(pieces: list[bytes], limit: int = DICT_BYTES) -> bytes:
-    """The texts' beginnings and middles, with the room shared out evenly; what short texts leave goes to longer ones."""
-    out, left = [], limit
-    for i, b in enumerate(sorted(pieces, key=len)):
-        room = left // (len(pieces) - i)
-        mid = len(b) // 2
-        out.append(b if len(b) <= room else b[: room // 2] + b[mid : mid + room - room // 2])
-        left -= len(out[-1])
-    return b"".join(out)
-
-
 def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a logistic regression on one feature, by Newton steps with a small ridge; the slope is not negative."""
     a, b = 1.0, 0.0
@@ -85,33 +74,58 @@ def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
     return max(float(a), 1e-6), float(b)
 
 
+def whole_rows(sizes: list[int], limit: int = DICT_BYTES, most: int = TEXT_BYTES) -> list[int]:
+    """Which texts fill a dictionary: whole ones in the order given, of at most `most` bytes while there are such, then the shorter of the others."""
+    order = [i for i, n in enumerate(sizes) if n <= most] + sorted((i for i, n in enumerate(sizes) if n > most), key=lambda i: (sizes[i], i))
+    out, left = [], limit
+    for i in order:
+        if 0 < sizes[i] <= left:
+            out.append(i)
+            left -= sizes[i]
+    return out
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on a bounded sample of labelled rows outside the held-out fold.
 
     Of each class the rows with the smallest hash of the id: at most DICT_ROWS for its dictionary and CALIBRATION_ROWS other
-    ones for the calibration (of fewer rows, two thirds and one third), weighted to the classes' true counts. Only the
-    sample's ids and snippets and the calibration's features reach the driver. Rows with a null label or id are left out.
-    With no labelled rows of a class its dictionary is empty, and the score is about the share of label 1 (one half if no labels).
+    ones for the calibration (of fewer rows, two thirds and one third), weighted to the classes' true counts. A dictionary takes whole
+    texts until its DICT_BYTES are full, first those of at most TEXT_BYTES; texts are never cut. Only the sample's ids, the
+    dictionaries and the calibration's features reach the driver.
+
+    Rows with a null label or id are left out, and so are ids that labels contradict each other about; repeated labels count once. Of
+    a repeated doc_id the text with the smallest hash is taken. Null and empty texts say nothing. With no labelled rows of a class its
+    dictionary is empty, and the score is about the share of label 1 (one half if no labels or no documents). Further columns of
+    both tables, whatever their names, play no part.
     """
     spark = docs.sparkSession
-    ids = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
+    known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
+    ids = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", "y")
     count = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = []
     for y in (0, 1):
-        n = count.get(y, 0)
-        for_dict = min(DICT_ROWS, -(-2 * n // 3))
+        for_dict = min(DICT_ROWS, -(-2 * count.get(y, 0) // 3))
         rows = ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_ROWS + CALIBRATION_ROWS).collect()
-        picked += [(r["doc_id"], y, i < for_dict) for i, r in enumerate(rows)]
+        picked += [(r["doc_id"], y, i < for_dict, i) for i, r in enumerate(rows)]
     if not picked:
         return QualityModel(b"", b"", 1.0, 1e-6, 0.0)
-    sample = spark.createDataFrame(picked, f"doc_id {labels.schema[id_col].dataType.simpleString()}, y int, for_dict boolean")  # at most 2 * (DICT_ROWS + CALIBRATION_ROWS) rows
+    id_type = labels.schema[id_col].dataType.simpleString()
+    sample = spark.createDataFrame(picked, f"doc_id {id_type}, y int, for_dict boolean, i int")  # at most 2 * (DICT_ROWS + CALIBRATION_ROWS) rows
     texts = id_and_text(docs, id_col, text_col)
-    per = 4000
-    mid = F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - per // 2)
-    snippets = texts.join(F.broadcast(sample.where("for_dict")), "doc_id").select("doc_id", "y", F.when(F.length("text") <= 2 * per, F.col("text")).otherwise(F.concat(F.substring("text", 1, per), F.col("text").substr(mid, F.lit(per)))).alias("text")).collect()
-    by = {y: [r["text"].encode("utf-8", "replace") for r in sorted(snippets, key=lambda r: str(r["doc_id"])) if r["y"] == y] for y in (0, 1)}
-    rough = QualityModel(dictionary(by[1]), dictionary(by[0]), 1.0, 1.0, 0.0)
-    rest = texts.join(F.broadcast(sample.where("not for_dict")), "doc_id").select(F.struct("doc_id", "y").alias("doc_id"), "text")
+    one = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y", "for_dict", "i").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("t"))
+    one = one.select("doc_id", "y", "for_dict", "i", "t.*").orderBy("i").collect()  # a row for each of the sample's ids at most
+    chosen = [r for r in one if not r["for_dict"]]
+    for y in (0, 1):
+        rows = [r for r in one if r["for_dict"] and r["y"] == y]
+        chosen += [rows[k] for k in whole_rows([r["n"] for r in rows])]
+    if not chosen:
+        return QualityModel(b"", b"", 1.0, 1e-6, 0.0)
+    wanted = spark.createDataFrame([(r["doc_id"], r["y"], r["for_dict"], r["i"], r["h"]) for r in chosen], f"doc_id {id_type}, y int, for_dict boolean, i int, h long")
+    rows = texts.join(F.broadcast(wanted), "doc_id").where(F.xxhash64("text") == F.col("h")).dropDuplicates(["doc_id"])
+    pieces = rows.where("for_dict").select("y", "i", "text").orderBy("i").collect()  # at most 2 * DICT_BYTES
+    by = {y: b"\n".join(r["text"].encode("utf-8", "replace") for r in pieces if r["y"] == y) for y in (0, 1)}
+    rough = QualityModel(by[1], by[0], 1.0, 1.0, 0.0)
+    rest = rows.where("not for_dict").select(F.struct("doc_id", "y").alias("doc_id"), "text")
     seen = [(r["x"], r["doc_id"]["y"]) for r in _features(rest, rough).collect()]
     x, y = np.array([s[0] for s in seen], dtype=float), np.array([s[1] for s in seen], dtype=float)
     if len(set(y.tolist())) < 2:
@@ -134,8 +148,9 @@ def _features(df: DataFrame, model: QualityModel) -> DataFrame:
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted.
 
-    A map without a shuffle; each whole text is compressed twice, in segments. Null texts count as empty; an empty text has the score of
-    no difference. Repeated rows give repeated results; other columns, whatever their names, play no part.
+    A map without a shuffle; each whole text, however long, is compressed twice, in segments. Null texts count as empty; an empty text has
+    the score of no difference. A score of exactly the threshold is predicted 1. Repeated rows give repeated results; a null id is kept
+    and not held out; an empty table gives no rows; other columns, whatever their names, play no part.
     """
 
     def make():

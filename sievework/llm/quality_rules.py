@@ -92,12 +92,14 @@ def with_estimates(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
 def distance(rows: DataFrame, scale: float = 1.0) -> DataFrame:
     """d2: the squared Mahalanobis distance by the group's means m_i and Cholesky factors c_i_j, by forward substitution."""
     names = list(FEATURES)
+    d2 = F.lit(0.0)
     for i, f in enumerate(names):
         rest = F.col(f) - F.col(f"m_{i}")
         for j in range(i):
             rest = rest - F.col(f"c_{i}_{j}") * F.col(f"z_{j}")
-        rows = rows.withColumn(f"z_{i}", rest / F.col(f"c_{i}_{i}"))
-    return rows.withColumn("d2", sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, len(names))), F.col("z_0") * F.col("z_0")) / scale)
+        rows = rows.select("*", (rest / F.col(f"c_{i}_{i}")).alias(f"z_{i}"))
+        d2 = d2 + F.col(f"z_{i}") * F.col(f"z_{i}")
+    return rows.select("*", (d2 / scale).alias("d2"))
 
 
 def covariance(rows: DataFrame) -> DataFrame:
@@ -185,15 +187,16 @@ def with_base(stats: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> tuple[DataFrame, bool]:
-    """Estimates by g, of the groups g0 and of the languages g1 with MIN_ROWS passing rows or more and, as g = 0, of all rows; and whether they are few enough to broadcast."""
+    """Estimates by g, and whether they are few enough to broadcast: of the groups g0 with MIN_ROWS passing rows or more; for smaller ones of
+    their languages g1, if these have as many; and for still smaller languages, as g = 0, of all rows."""
     passing = rows.where(~F.col("base_failed")).select("g0", "g1", *FEATURES)
     sizes = cut(passing.groupBy("g0", "g1").agg(F.count("*").alias("n")))
     few = sizes.count() <= BROADCAST_GROUPS
-    parts = [passing.select(F.lit(0).cast("long").alias("g"), *FEATURES)]
-    for level in ("g0", "g1"):
-        large = sizes.groupBy(F.col(level).alias("g")).agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_ROWS).select("g")
-        parts.append(passing.select(F.col(level).alias("g"), *FEATURES).join(F.broadcast(large) if few else large, "g", "left_semi"))
-    return robust_estimates(parts[0].unionAll(parts[1]).unionAll(parts[2]), few), few
+    large = F.col("n") >= MIN_ROWS
+    langs = sizes.groupBy("g1").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    groups = cut(sizes.where(large).select(F.lit(0).alias("level"), F.col("g0").alias("g")).unionAll(langs.where(large & (F.col("least") < MIN_ROWS)).select(F.lit(1), "g1")).unionAll(langs.where(~large).select(F.lit(2), F.lit(0).cast("long")).distinct()))
+    levels = passing.select(F.posexplode(F.array("g0", "g1", F.lit(0).cast("long"))).alias("level", "g"), *FEATURES)
+    return robust_estimates(stored(levels.join(F.broadcast(groups) if few else groups, ["level", "g"], "left_semi").drop("level")), few), few
 
 
 def with_verdict(rows: DataFrame, est: DataFrame, few: bool) -> DataFrame:
@@ -209,7 +212,7 @@ def with_verdict(rows: DataFrame, est: DataFrame, few: bool) -> DataFrame:
     # the values of a row come from one estimate
     chosen = {c: F.when(F.col("own_m_0").isNotNull(), F.col(f"own_{c}")).when(F.col("lang_m_0").isNotNull(), F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")) for c in values}
     far = distance(joined.withColumns(chosen | {"estimate": by}), shrunk)
-    far = far.withColumn("outlier", ~F.col("base_failed") & F.coalesce(F.col("d2") > chi2_quantile(1 - TAIL, p), F.lit(False)))
+    far = far.withColumn("estimate", F.when(~F.col("base_failed"), F.col("estimate"))).withColumn("outlier", ~F.col("base_failed") & F.coalesce(F.col("d2") > chi2_quantile(1 - TAIL, p), F.lit(False)))
     return far.withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
 
 
@@ -219,7 +222,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     base_failed: fewer than 10 words, or more than a fifth of the words in repeated 5-word windows. outlier: the squared
     Mahalanobis distance of the transformed statistics lies beyond the cutoff of the row's language and source; of groups
     with fewer than MIN_ROWS rows, of their language; of languages with fewer, of all rows. estimate names which of them judged
-    the row (source, language, all; null if no row passes the base). Estimates rest on all rows that the base keeps.
+    the row (source, language, all; null for rows that fail the base). Estimates rest on all rows that the base keeps.
 
     Null and empty texts have no words and fail the base; null languages or sources are groups of their own. Statistics of a text of any
     length are counted whole, within its row. A distance of exactly the cutoff is no outlier; repeated rows count each and are judged

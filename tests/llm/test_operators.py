@@ -286,11 +286,24 @@ def test_quality_model(spark):
 def test_quality_model_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(30)] + [(None, 1, 0, "x"), (5, None, 0, "x"), (999, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
     assert quality_model.score_quality(odd, quality_model.fit_quality(odd, labels)).count() == odd.count()
+    none = odd.where("false")
+    assert quality_model.score_quality(none, quality_model.fit_quality(none, labels)).collect() == []
+    assert quality_model.score_quality(odd, quality_model.fit_quality(none, labels)).count() == odd.count()
+    contradicted = labels.unionByName(labels.withColumn("quality", 1 - F.col("quality")))
+    assert quality_model.fit_quality(odd, contradicted) == quality_model.fit_quality(odd, labels.where("false"))
+    twice = odd.unionByName(odd).repartition(2)
+    assert quality_model.fit_quality(twice, labels.unionByName(labels)) == quality_model.fit_quality(odd, labels)
     for few in (labels.where("false"), labels.where("quality = 1")):
         rows = quality_model.score_quality(odd, quality_model.fit_quality(odd, few)).collect()
         assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_dictionaries_take_whole_texts():
+    """Never a part of a text; long ones only where there is room after the others."""
+    assert quality_model.whole_rows([5, 0, 40, 7, 90, 3], limit=60, most=10) == [0, 3, 5, 2]
+    assert quality_model.whole_rows([50, 70], limit=60, most=10) == [0] and quality_model.whole_rows([], limit=60, most=10) == []
+
+
 def test_quality_of_long_texts():
     """The feature of a long text is that of all its parts, wherever they stand."""
     rng = random.Random(5)
@@ -456,8 +469,11 @@ def test_verdict_against_matrix_algebra(spark, sf):
     factor = quality_rules.SHARE / quality_rules.chi2_cdf(quality_rules.chi2_quantile(quality_rules.SHARE, p), p + 2)
     limit = quality_rules.chi2_quantile(1 - quality_rules.TAIL, p)
     for r in quality_rules.with_verdict(rows, est, few).collect():
-        e = by.get(r["g0"], by.get(r["g1"], by[0]))
-        assert r["estimate"] == ("source" if r["g0"] in by else "language" if r["g1"] in by else "all")
+        e = by.get(r["g0"], by.get(r["g1"], by.get(0)))
+        assert r["estimate"] == (None if r["base_failed"] else "source" if r["g0"] in by else "language" if r["g1"] in by else "all")
+        if r["base_failed"]:
+            assert not r["kept"]
+            continue
         z = np.array([r[f] - e[f"m_{i}"] for i, f in enumerate(quality_rules.FEATURES)])
         c = np.array([[e[f"c_{i}_{j}"] if j <= i else 0.0 for j in range(p)] for i in range(p)])
         d2 = z @ np.linalg.inv(c @ c.T) @ z / factor
