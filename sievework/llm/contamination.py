@@ -57,33 +57,55 @@ def rarest_first(index: DataFrame, windows: DataFrame) -> DataFrame:
     return windows.join(ranked.where(F.col("least") > 0).select("win_id", "win", first["term"].alias("term"), first["off"].alias("off"), rest.alias("rest")), ["win_id", "win"])
 
 
+def posting_rows(index: DataFrame) -> DataFrame:
+    """r, term, list: the index's lists one by one."""
+    return index.select("r", F.posexplode("terms").alias("k", "term"), "postings").select("r", "term", F.get(F.col("postings"), F.col("k")).alias("list"))
+
+
+def shifted(list_: Column, off: Column, slop: int = 0) -> Column:
+    """The places where a window may begin whose word at off stands in the list, or up to slop words beside it."""
+    return F.transform(list_, lambda p: p - off) if not slop else F.flatten(F.transform(list_, lambda p: F.sequence(p - off - slop, p - off + slop)))
+
+
 def find_matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame:
     """A row for each row of the index and window that match there: r, win_id, n (words), items, exact (starts), near (starts).
 
-    The list of the window's rarest term, shifted by its offset, holds the places where the window may begin. The other terms' lists
-    are intersected with it one by one, from rare to frequent, until none is left. exact: each list has the place's word at its
-    offset. near: each list has a position within slop words of that; exact places are near, too. Windows that are small together are
-    broadcast, and each document's lists are intersected where they are stored; else the lists of the rarest terms meet the windows by
-    a shuffle, and only documents with such places send their other lists.
+    The list of the window's rarest term, shifted by its offset, holds the places where the window may begin. It is intersected with
+    the next rarest term's list, and what is left with the others' lists one by one, from rare to frequent, until nothing is left.
+    exact: each list has the place's word at its offset. near: each list has a position within slop words of that; exact places are
+    near, too. Windows that are small together are broadcast, and so are candidates; else lists and candidates meet by a shuffle on
+    row and term. A row's other lists are never copied beside a candidate, so long documents cost no more than their words.
     """
     size = 2 * F.octet_length(F.array_join("win", " ")) + 40 * F.col("n") + 16 * F.size("items")
-    side = if_small(windows, size)
-    if side is not windows:
-        met = index.select("r", "terms", "postings", F.posexplode("terms").alias("k", "term")).join(side, "term")
-        starts = F.transform(F.get(F.col("postings"), F.col("k")), lambda p: p - F.col("off"))
-    else:
-        rarest = cut(windows.select("term").distinct())
-        lists = index.select("r", F.posexplode("terms").alias("k", "term"), "postings").join(if_small(rarest, F.octet_length("term")), "term", "left_semi")
-        lists = lists.select("r", "term", F.get(F.col("postings"), F.col("k")).alias("list"))
-        met = lists.join(windows, "term").join(index.select("r", "terms", "postings"), "r")
-        starts = F.transform("list", lambda p: p - F.col("off"))
-    of = lambda t: F.coalesce(F.get(F.col("postings"), (F.array_position(F.col("terms"), t["term"]) - 1).cast("int")), F.array().cast("array<int>"))
-    about = lambda t, d: F.flatten(F.transform(of(t), lambda p: F.sequence(p - t["off"] - d, p - t["off"] + d)))
-    rest = F.col("rest")
-    near = F.aggregate(rest, starts, lambda acc, t: F.when(F.size(acc) == 0, acc).otherwise(F.array_intersect(acc, about(t, slop))))
-    exact = F.aggregate(rest, F.filter("near", lambda s: s >= 0), lambda acc, t: F.when(F.size(acc) == 0, acc).otherwise(F.array_intersect(acc, F.transform(of(t), lambda p: p - t["off"]))))
-    met = met.select("r", "win_id", "n", "items", "rest", "terms", "postings", near.alias("near")).where(F.size("near") > 0)
-    return met.select("r", "win_id", "n", "items", exact.alias("exact"), "near")
+    small = if_small(windows, size) is not windows
+    side = lambda w: F.broadcast(w) if small else w
+    lists = posting_rows(index)
+    keys = lambda df, *cols: if_small(cut(df.select(*cols).distinct()), F.octet_length("term") if "term" in cols else None)
+    first = lists.join(keys(windows, "term"), "term", "left_semi") if not small else lists
+    found = cut(first.join(side(windows.select("win_id", "term", "off")), "term").select("r", "win_id", shifted(F.col("list"), F.col("off")).alias("near")))
+
+    second = windows.where(F.size("rest") > 0).select("win_id", F.col("rest")[0]["off"].alias("off"), F.col("rest")[0]["term"].alias("term"))
+    asked = found.join(side(second), "win_id")
+    near = F.array_intersect("near", shifted(F.col("list"), F.col("off"), slop))
+    exact = F.array_intersect(F.filter("near", lambda s: s >= 0), shifted(F.col("list"), F.col("off")))
+    both = with_lists(asked, lists, keys(second, "term")).select("r", "win_id", near.alias("near"), exact.alias("exact")).where(F.size("near") > 0)
+    single = found.join(side(windows.where(F.size("rest") == 0).select("win_id")), "win_id", "left_semi").select("r", "win_id", "near", F.filter("near", lambda s: s >= 0).alias("exact"))
+    left = cut(both.unionAll(single))
+
+    others = windows.where(F.size("rest") > 1).select("win_id", "n", F.posexplode(F.slice("rest", F.lit(2), F.size("rest"))).alias("rank", "t")).select("win_id", "n", "rank", "t.off", "t.term")
+    asked = left.join(side(others), "win_id")
+    by = with_lists(asked, lists, keys(others, "term")).groupBy("r", "win_id").agg(F.first("near").alias("near"), F.first("exact").alias("exact"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "off", "list"))).alias("t"))
+    fold = lambda start, d: F.aggregate("t", F.col(start), lambda acc, t: F.when(F.size(acc) == 0, acc).otherwise(F.array_intersect(acc, shifted(t["list"], t["off"], d))))
+    all_ = by.where(F.size("t") == F.col("n") - 2).select("r", "win_id", fold("near", slop).alias("near"), fold("exact", 0).alias("exact")).where(F.size("near") > 0)
+    short = left.join(side(windows.where(F.size("rest") <= 1).select("win_id")), "win_id", "left_semi").select("r", "win_id", "near", "exact")
+    return all_.unionAll(short).join(side(windows.select("win_id", "n", "items")), "win_id").select("r", "win_id", "n", "items", "exact", "near")
+
+
+def with_lists(asked: DataFrame, lists: DataFrame, terms: DataFrame) -> DataFrame:
+    """asked (r, term, ...) with the lists of their rows and terms; few of them are broadcast, else lists of other terms stay where they are."""
+    asked = cut(asked)
+    side = if_small(asked, F.octet_length("term") + 8 * F.size("near"))
+    return lists.join(side, ["r", "term"]) if side is not asked else lists.join(terms, "term", "left_semi").join(asked, ["r", "term"])
 
 
 def covered(spans: Column) -> Column:
