@@ -38,6 +38,12 @@ def admission(spark, d):
     return policy.admit(spark_view(spark, d, "v_tool_calls"), POLICY).select("call_id", "original_tokens", "reason")
 
 
+def admission_protected(spark, d):
+    """Payloads of all kinds as outputs of commands, some of which show a file: what is held back so that it stays exact."""
+    v = spark_view(spark, d, "v_all").select("view_name", "id", "content", F.lit("shell").alias("tool"), F.when(F.char_length("content") % 2 == 0, '{"command": "cd /x && cat -n f.py"}').otherwise('{"cmd": ["grep", "-n", "x"]}').alias("args"))
+    return policy.admit(v, POLICY, output="content", args="args").select("view_name", "id", "reason")
+
+
 def detect_kind(spark, d):
     return detect.with_kind(spark_view(spark, d, "v_all")).select("view_name", "id", "kind", F.round("confidence", 6).alias("confidence"))
 
@@ -76,7 +82,7 @@ def lossless_by_kind(spark, d):
     return out.groupBy("kind").agg(F.count("*").alias("payloads"), F.sum((F.col("lossless") != F.col("content")).cast("long")).alias("folded"), F.sum(F.char_length("lossless").cast("long")).alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (token_count, token_count_turns, content_hash_dups, marker_flags, policy_resolution, admission, detect_kind, compression_queries, lossless_runs, lossless_runs_not_undone, search_heading, search_heading_not_undone, json_table_fold, lossless_by_kind)}
+QUERIES = {f.__name__: f for f in (token_count, token_count_turns, content_hash_dups, marker_flags, policy_resolution, admission, admission_protected, detect_kind, compression_queries, lossless_runs, lossless_runs_not_undone, search_heading, search_heading_not_undone, json_table_fold, lossless_by_kind)}
 
 _CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
 _PROSE = "greatest(1, coalesce(list_sum(list_transform(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]'), lambda p: CASE WHEN regexp_matches(p, '^[\\p{{L}}\\p{{N}}_]') THEN ceil(length(p) / 4.0) ELSE 1 END)), 0))"
@@ -151,6 +157,8 @@ ORACLES = {
     "admission": f"""SELECT call_id, n AS original_tokens, CASE WHEN p[3] = 'preserve' THEN CASE p[2] WHEN 'user' THEN 'user_preserve' WHEN 'compatibility' THEN 'legacy_skip_tool' ELSE 'builtin_preserve' END
  WHEN output = '' OR {_MARKED.format(x='output')} THEN 'empty_or_marked' WHEN length(output) > 250000 THEN 'too_large' WHEN length(output) < lim AND n < lim THEN 'below_threshold' WHEN {_STRONG.format(x='output')} THEN 'protected_error_output' ELSE 'admitted' END AS reason
  FROM (SELECT *, {tokens_sql('output')} AS n, {_POLICY} AS p, CASE WHEN p[1] = 'hard-grep' THEN 1 ELSE 25 END AS lim FROM ({_V['v_tool_calls']}) v) x""",
+    "admission_protected": f"""SELECT view_name, id, CASE WHEN length(content) % 2 = 0 AND kind IN ('text', 'code') AND content <> '' THEN 'read_protected' WHEN content = '' OR {_MARKED.format(x='content')} THEN 'empty_or_marked' WHEN length(content) > 250000 THEN 'too_large'
+ WHEN length(content) < 25 AND n < 25 THEN 'below_threshold' WHEN {_STRONG.format(x='content')} THEN 'protected_error_output' WHEN kind = 'code' THEN 'protected_recent_code' ELSE 'admitted' END AS reason FROM (SELECT view_name, id, content, kind, {tokens_sql('content')} AS n FROM ({kind_sql(_V['v_all'])}) k) x""",
     "detect_kind": f"SELECT view_name, id, kind, round(raw_confidence, 6) AS confidence FROM ({kind_sql(_V['v_all'])}) k",
     "lossless_runs": runs_sql(f"{_V['v_log_runs']} UNION ALL {_V['v_text']}") + " SELECT id, sha256(folded) AS folded_sha256, length(folded) AS folded_chars FROM o",
     "lossless_runs_not_undone": "SELECT doc_id::VARCHAR AS id FROM documents WHERE false",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import text, tokens
-from sievework.operators import lines, lossless, retrieve, sessions, store, telemetry
+from sievework.operators import lossless, policy, retrieve, sessions, store, telemetry
 from sievework.plans.basic import tokens_sql
 from sievework.plans.views import DUCK, spark_view, view_sql
 from sievework.session import table
@@ -32,7 +32,7 @@ def store_stats(spark, d):
 
 def store_latest(spark, d):
     e = _entries(spark, d)
-    asked = e.where("id % 5 = 0").select(F.col("id").alias("request_id"), "hash", F.when(F.col("id") % 2 == 0, F.col("session_id")).alias("session_id"))
+    asked = e.select(F.col("id").alias("request_id"), "hash", F.when(F.col("id") % 2 == 0, F.col("session_id")).alias("session_id"))
     return store.latest(asked, e, NOW).select("request_id", F.col("entry.id").alias("entry_id"))
 
 
@@ -49,7 +49,7 @@ def store_keys(spark, d):
 
 
 def _asked(spark, d, **columns):
-    e = _entries(spark, d).where("id % 4 = 0")
+    e = _entries(spark, d)
     blank = {"mode": "string", "query": "string", "start_line": "int", "end_line": "int", "lines": "int", "context": "int", "max_matches": "int", "max_chars": "int"}
     return retrieve.retrieve(e.withColumns({n: columns.get(n, F.lit(None)).cast(t) for n, t in blank.items()}))
 
@@ -139,6 +139,15 @@ def telemetry_reasons(spark, d):
     return telemetry.reasons(spark_view(spark, d, "v_telemetry")).select("session_id", "reason", "events")
 
 
+#: Reasons of all sorts, some of them unknown to telemetry.
+_SOME_REASONS = ("invalid_json", "strategy_circuit_open", "candidate_empty_candidate", "candidate_protected_fact_lost", "engine_error", "mixed_passthrough", "code_passthrough", "skip_tool", "nothing_to_compress", "strategy_error:KeyError", "Compressed", "")
+
+
+def reason_projection(spark, d):
+    r = F.get(F.array(*map(F.lit, _SOME_REASONS)), (F.col("event_id") % len(_SOME_REASONS)).cast("int"))
+    return table(spark, d, "events").select("event_id", policy.known_reason(r).alias("reason"))
+
+
 def _payloads(spark, d):
     f = lossless.with_runs_folded(spark_view(spark, d, "v_log_runs"))
     return f.select("id", tokens.tokens(F.col("content")).alias("original"), tokens.tokens(F.col("folded")).alias("compact"), F.lit(100).cast("long").alias("targeted"))
@@ -188,12 +197,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_live, store_newest, store_stats, store_latest, store_orphans, store_keys, retrieve_query, retrieve_range, retrieve_head, retrieve_tail, retrieve_summary, retrieve_full, repetition_exact, repetition_similar, span_anchors, span_fold_stats,
-        read_states, read_markers, read_replacements, read_replays, context_replays, store_stats_text, context_live_parts, session_intent, pending_parts, telemetry_sessions, telemetry_reasons, cost_scenarios, break_even, parity_ratios,
+        read_states, read_markers, read_replacements, read_replays, context_replays, store_stats_text, context_live_parts, session_intent, pending_parts, telemetry_sessions, telemetry_reasons, reason_projection, cost_scenarios, break_even, parity_ratios,
     )
 }
 
 _LIVE = f"e AS ({_E}), l AS (SELECT * FROM e WHERE expires_ms > {NOW})"
-_REQ = f"e AS (SELECT *, string_split_regex(content, '\\r?\\n') AS ls FROM ({_E}) x WHERE id % 4 = 0)"
+_REQ = f"e AS (SELECT *, string_split_regex(content, '\\r?\\n') AS ls FROM ({_E}) x)"
 
 
 def _head(mode: str, detail: str) -> str:
@@ -246,7 +255,7 @@ ORACLES = {
     "store_live": f"WITH {_LIVE} SELECT id, hash FROM l",
     "store_newest": f"WITH {_LIVE}, r AS (SELECT *, row_number() OVER (ORDER BY created_ms DESC, id DESC) AS r FROM l) SELECT id, hash FROM r WHERE r <= 100",
     "store_stats": f"WITH {_LIVE} SELECT session_id, count(*) AS entries, sum(original_tokens)::BIGINT AS original_tokens, sum(compressed_tokens)::BIGINT AS compressed_tokens, sum(greatest(0, original_tokens - compressed_tokens))::BIGINT AS saved_tokens, sum(retrieval_count)::BIGINT AS retrievals FROM l GROUP BY session_id",
-    "store_latest": f"WITH {_LIVE} SELECT r.id AS request_id, (SELECT max(l.id) FROM l WHERE l.hash = r.hash AND (r.id % 2 <> 0 OR l.session_id = r.session_id)) AS entry_id FROM e r WHERE r.id % 5 = 0",
+    "store_latest": f"WITH {_LIVE} SELECT r.id AS request_id, (SELECT max(l.id) FROM l WHERE l.hash = r.hash AND (r.id % 2 <> 0 OR l.session_id = r.session_id)) AS entry_id FROM e r",
     "store_orphans": f"WITH {_LIVE} SELECT DISTINCT hash FROM e WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.hash = e.hash AND l.session_id <> 'en')",
     "store_keys": "SELECT count(*) AS entries, count(DISTINCT text) AS keys, count(DISTINCT text) AS contents FROM documents",
     "retrieve_query": f"WITH {_REQ}, h AS (SELECT *, list_slice(list_filter(range(1, len(ls) + 1), lambda i: len(list_filter({_WORDS}, lambda w: contains(lower(nfc_normalize(ls[i])), w))) > 0), 1, 3) AS hits FROM e), s AS (SELECT *, list_sort(list_distinct(flatten(list_transform(hits, lambda i: range(greatest(1, i - 1), least(len(ls), i + 1) + 1))))) AS near FROM h), f AS (SELECT id, CASE WHEN len(hits) = 0 THEN " + _head("query", "'query: thation und qui | matches: 0 | original lines: ' || len(ls)") + " || chr(10) || 'No matching lines found. Try a broader query, mode=head, mode=tail, mode=range, or mode=full.' ELSE " + _head("query", "'query: thation und qui | matches: ' || len(hits) || ' | returned lines: ' || len(near) || ' | original lines: ' || len(ls)") + " || chr(10) || array_to_string(list_transform(near, lambda i: i || ': ' || ls[i]), chr(10)) END AS raw FROM s) SELECT id, length(o) AS chars, sha256(o) AS output_sha256 FROM (SELECT id, " + _clip("raw", 12_000) + " AS o FROM f) z",
@@ -254,7 +263,7 @@ ORACLES = {
     "retrieve_head": f"WITH {_REQ} " + _final("head", _head("head", "'lines: 1-' || least(3, len(ls)) || ' | original lines: ' || len(ls)") + " || chr(10) || " + _num("1", "least(3, len(ls))")),
     "retrieve_tail": f"WITH {_REQ} " + _final("tail", _head("tail", "'lines: ' || greatest(1, len(ls) - 2) || '-' || len(ls) || ' | original lines: ' || len(ls)") + " || chr(10) || " + _num("greatest(1, len(ls) - 2)", "len(ls)"), 400),
     "retrieve_summary": f"WITH {_REQ} " + _final("summary", _head("summary", "'original lines: ' || len(ls)") + f" || chr(10) || 'tool: unknown' || chr(10) || 'call: ' || id || chr(10) || 'compressed tokens: ' || compressed_tokens || chr(10) || 'retrieval count: ' || retrieval_count || chr(10) || chr(10) || '{retrieve.ADVICE}' || chr(10) || chr(10) || 'Preview:' || chr(10) || " + _num("1", "least(5, len(ls))") + " || CASE WHEN len(ls) > 10 THEN chr(10) || '...' || chr(10) || " + _num("len(ls) - 4", "len(ls)") + " ELSE '' END"),
-    "retrieve_full": f"SELECT id, length(content) AS chars, sha256(content) AS output_sha256 FROM ({_E}) e WHERE id % 4 = 0",
+    "retrieve_full": f"SELECT id, length(content) AS chars, sha256(content) AS output_sha256 FROM ({_E}) e",
     "repetition_exact": f"WITH r AS ({_REP}) SELECT a.session_id, a.seq, max(b.seq) AS of_seq FROM r a JOIN r b ON a.session_id = b.session_id AND a.content = b.content AND b.seq < a.seq GROUP BY 1, 2",
     "repetition_similar": f"""WITH r AS ({_REP}), l AS (SELECT DISTINCT session_id, seq, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS k FROM (SELECT session_id, seq, unnest(string_split(content, chr(10))) AS line FROM r) x WHERE regexp_matches(line, '\\S')), n AS (SELECT session_id, seq, count(*) AS n FROM l GROUP BY 1, 2 HAVING count(*) >= 8),
  b AS (SELECT x.session_id, x.seq, y.seq AS of_seq, count(*) AS c FROM l x JOIN l y ON x.session_id = y.session_id AND x.k = y.k AND y.seq < x.seq GROUP BY 1, 2, 3), j AS (SELECT b.*, c / (n1.n + n2.n - c) AS s FROM b JOIN n n1 ON n1.session_id = b.session_id AND n1.seq = b.seq JOIN n n2 ON n2.session_id = b.session_id AND n2.seq = b.of_seq),
@@ -268,6 +277,7 @@ ORACLES = {
     "session_intent": "SELECT conv_id AS session_id, turn, sha256((SELECT left(trim(c.text, ' ' || chr(9) || chr(10) || chr(13)), 2000) FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn <= a.turn AND c.role = 'user' AND trim(c.text, ' ' || chr(9) || chr(10) || chr(13)) <> '' ORDER BY c.turn DESC LIMIT 1)) AS intent_sha256 FROM conversations a",
     "telemetry_sessions": _snap("GROUP BY session_id", "session_id") + " UNION ALL " + _snap("", "NULL"),
     "telemetry_reasons": f"WITH t AS (SELECT session_id, CASE reason WHEN 'odd_reason' THEN 'unknown' ELSE reason END AS reason FROM ({_TEL}) x) SELECT session_id, reason, count(*) AS events FROM t GROUP BY GROUPING SETS ((session_id, reason), (reason))",
+    "reason_projection": "SELECT event_id, list_value('invalid_json', 'strategy_circuit_open', 'candidate_empty_candidate', 'candidate_protected_fact_lost', 'engine_error', 'mixed_passthrough', 'code_passthrough', 'skip_tool', 'unknown', 'unknown', 'unknown', 'unknown')[(event_id % 12) + 1] AS reason FROM events",
     "cost_scenarios": _costs() + " SELECT id, scenario, tokens, round(cost, 9) AS cost, round(100 * (1 - tokens / original), 6) AS reduction_pct FROM co",
     "break_even": _costs() + ", w AS (SELECT id, max(cost) FILTER (WHERE scenario = 'uncompressed') AS b, max(cost) FILTER (WHERE scenario = 'no_retrieve') AS n, max(cost) FILTER (WHERE scenario = 'full_retrieve') AS a FROM co GROUP BY id) SELECT id, round(CASE WHEN a <= n THEN 1.0 ELSE greatest(0, least(1, (b - n) / (a - n))) END, 6) AS rate FROM w",
     "parity_ratios": _costs() + ", z AS (SELECT CASE WHEN id < '2024-01-15' THEN 'early' ELSE 'late' END AS kind, compact / original AS s, ceil(original / 2) / original AS r FROM tk) SELECT kind, count(*) AS fixtures, round(median(s) / median(r), 6) AS median_ratio, round(sum(1 - s) / sum(1 - r), 6) AS savings_ratio FROM z GROUP BY kind",

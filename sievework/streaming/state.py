@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 CACHE_ENTRIES, CACHE_TTL_MS = 512, 30 * 60_000
 BREAKER_FAILURES, BREAKER_COOLDOWN_MS = 3, 60_000
 REPEAT_ENTRIES = 32
+IDLE_MS = 24 * 3_600_000  # of a key, until its state goes
 
 
 class Breaker:
@@ -112,10 +113,16 @@ def _intent(rows: pd.DataFrame, state) -> tuple[pd.DataFrame, object]:
 STEPS = {"breaker": _breaker, "cache": _cache, "repeats": _repeats, "intent": _intent}
 
 
-def run_stream(events: DataFrame, step: str) -> DataFrame:
-    """events (key, seq, value, role, ok) -> key, seq, result, with state by key; a row whose role is 'delete' clears the key's state."""
+def run_stream(events: DataFrame, step: str, idle_ms: int = IDLE_MS) -> DataFrame:
+    """events (key, seq, value, role, ok) -> key, seq, result, with state by key; a row whose role is 'delete' clears the key's state.
+
+    A key without rows for idle_ms of processing time loses its state, too, so that the state doesn't grow with all keys ever seen.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         held = json.loads(state.get[0]) if state.exists else None
         gone = rows["role"].eq("delete")
@@ -132,9 +139,10 @@ def run_stream(events: DataFrame, step: str) -> DataFrame:
             state.remove()
         else:
             state.update((json.dumps(held),))
+            state.setTimeoutDuration(idle_ms)
 
     kind = events.schema["key"].dataType.simpleString()
-    return events.groupBy("key").applyInPandasWithState(update, f"key {kind}, seq long, result string", "held string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("key").applyInPandasWithState(update, f"key {kind}, seq long, result string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_batch(events: DataFrame, step: str) -> DataFrame:
