@@ -10,28 +10,62 @@ def _runs(change: np.ndarray) -> np.ndarray:
     return np.cumsum(change) - 1
 
 
+SMALL = 1024  # strings of a part that ordinary sorting finishes, as quicksorts do
+
+
 def multikey(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by the first depth columns, and the group of equal prefixes of each place in it.
 
-    One column at a time, like multikey quicksort with eight bytes as a character: only strings that still share their
-    prefix with another one are split further.
+    Multikey quicksort with eight bytes as a character: each part is split three ways by its pivot's character - less, equal, greater -
+    and the equal strings go on with the next one; all parts of a round are split together. Parts of at most SMALL strings are
+    sorted at once by the characters that are left.
     """
     n = len(words)
     order = np.arange(n)
-    group = np.zeros(n, dtype=np.int64)
-    for c in range(depth):
-        size = np.bincount(group)
-        tied = np.flatnonzero(size[group] > 1)
-        if not len(tied):
+    begins = np.zeros(n + 1, dtype=bool)  # where a part begins whose strings are done with, or equal as far as depth
+    begins[[0, n]] = True
+    start, end, col = np.array([0]), np.array([n]), np.array([0])
+    while len(start):
+        small = end - start <= SMALL
+        for c in np.unique(col[small]):
+            pick = small & (col == c)
+            _finish(words, depth, int(c), start[pick], end[pick], order, begins)
+        start, end, col = start[~small], end[~small], col[~small]
+        if not len(start):
             break
-        key = words[order[tied], c]
-        by = np.lexsort((key, group[tied]))
-        order[tied] = order[tied[by]]  # a group's places stay its own
-        key = words[order, c]
-        change = np.ones(n, dtype=bool)
-        change[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-        group = _runs(change)
-    return order, group
+        size = end - start
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        part = np.repeat(np.arange(len(start)), size)
+        key = words[order[at], col[part]]
+        begin = np.cumsum(size) - size
+        three = np.sort(np.stack([key[begin], key[begin + size // 2], key[begin + size - 1]]), axis=0)
+        side = (key > three[1][part]).astype(np.int8) - (key < three[1][part]).astype(np.int8)
+        lane = part * 3 + side + 1
+        order[at] = order[at[np.argsort(lane, kind="stable")]]
+        counts = np.bincount(lane, minlength=3 * len(start))
+        to = np.cumsum(counts.reshape(-1, 3), axis=1) + start[:, None]
+        limits = np.concatenate([start[:, None], to], axis=1)
+        start, end = limits[:, :3].ravel(), limits[:, 1:].ravel()
+        col = (col[:, None] + np.array([0, 1, 0])).ravel()
+        begins[start[end > start]] = True
+        more = (end - start > 1) & (col < depth)
+        start, end, col = start[more], end[more], col[more]
+    return order, _runs(begins[:n])
+
+
+def _finish(words: np.ndarray, depth: int, col: int, start: np.ndarray, end: np.ndarray, order: np.ndarray, begins: np.ndarray) -> None:
+    """Sort parts by the characters from col on."""
+    size = end - start
+    at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    if not len(at):
+        return
+    part = np.repeat(np.arange(len(start)), size)
+    own = order[at]
+    by = np.lexsort((*(words[own, c] for c in range(depth - 1, col - 1, -1)), part))
+    order[at] = own = own[by]
+    change = np.ones(len(at), dtype=bool)
+    change[1:] = (part[1:] != part[:-1]) | (words[own[1:], col:depth] != words[own[:-1], col:depth]).any(axis=1)
+    begins[at[change]] = True
 
 
 def blind_tries(strings: np.ndarray, order: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +77,7 @@ def blind_tries(strings: np.ndarray, order: np.ndarray, group: np.ndarray, depth
     """
     n, width = strings.shape
     order, leaf = order.copy(), group.copy()
-    if not n:
+    if not n or depth >= width:
         return order, leaf
     open_ = np.bincount(leaf)[leaf] > 1
     at = np.flatnonzero(open_)

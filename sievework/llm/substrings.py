@@ -23,6 +23,8 @@ SEED = 16  # bytes of the seed by which a string is filed: its seed of least has
 BLOCK_BYTES = 16_000_000  # text of a block that one step of a task holds
 BUCKET_BYTES = 16_000_000  # text whose seeds and contexts one bucket takes on average
 CHUNK = 500_000  # strings sorted at a time
+HOT = 20_000  # places of a seed in all documents, from which on its strings are dealt to buckets one by one
+SEND_BYTES = 8_000_000  # of packed rows handed on at once
 STEP = 1 << 22  # windows of a text hashed at a time
 
 _PLACE = np.uint64((1 << 24) - 1)
@@ -73,7 +75,10 @@ def anchors(b: np.ndarray, length: int = LENGTH, k: int = SEED) -> tuple[np.ndar
 
 
 class Block:
-    """The documents of a block, unpacked: ids (with null flags), the bytes one after the other, and the anchors of all."""
+    """The documents of a block, unpacked: ids (with null flags), the bytes one after the other, and the anchors of all.
+
+    Anchors: hash, lo (in the block), n, doc (number in the block); seeds: the distinct hashes, with which the place of each.
+    """
 
     def __init__(self, row: dict, buckets: int):
         self.buckets = np.uint64(buckets)
@@ -83,89 +88,106 @@ class Block:
         self.start = np.concatenate([[0], np.cumsum(self.sizes)])
         self.raw = zstandard.ZstdDecompressor().decompress(row["packed"], max_output_size=max(1, int(self.start[-1])))
         self.bytes = np.frombuffer(self.raw, dtype=np.uint8)
+        kept = zstandard.ZstdDecompressor().decompress(row["anchors"], max_output_size=21 * row["n_anchors"] + 1)
+        m = row["n_anchors"]
+        part = lambda t, at: np.frombuffer(kept, dtype=t, offset=at * m, count=m)
+        self.hash, self.lo, self.doc, self.n = part(np.uint64, 0), part(np.int64, 8), part(np.int32, 16).astype(np.int64), part(np.uint8, 20).astype(np.int64)
+        self.seeds, self.which = np.unique(self.hash, return_inverse=True)
 
     def text(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.start[i + 1]]
 
-    def file(self) -> None:
-        """hash, lo (in the block), n, doc (number in the block) of the anchors; seeds: the distinct hashes with many (in two documents)."""
-        hs, los, ns, docs = [], [], [], []
-        for i in np.flatnonzero(~self.null & (self.sizes >= LENGTH)):
-            h, lo, n = anchors(self.bytes[self.start[i] : self.start[i + 1]])
-            hs.append(h)
-            los.append(lo + self.start[i])
-            ns.append(n)
-            docs.append(np.full(len(h), i))
-        cat = lambda x, t: np.concatenate(x) if x else np.empty(0, dtype=t)
-        self.hash, self.lo, self.n, self.doc = cat(hs, np.uint64), cat(los, np.int64), cat(ns, np.int64), cat(docs, np.int64)
-        self.seeds, which = np.unique(self.hash, return_inverse=True)
+    def seed_rows(self) -> Iterator[dict]:
+        """By bucket the block's seeds in it, and its documents in it by their text's hash. A row for each bucket at most, and at most as many as there are seeds.
+
+        Seeds are packed as nine bytes: the hash, and a flag (in two documents of the block) with the logarithm of the number of places.
+        """
         least = np.full(len(self.seeds), np.iinfo(np.int64).max)
         most = np.full(len(self.seeds), np.iinfo(np.int64).min)
-        np.minimum.at(least, which, self.ids[self.doc])
-        np.maximum.at(most, which, self.ids[self.doc])
-        self.many = least < most
-        self.which = which
-
-    def seed_rows(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """bucket, the block's seeds in it, its documents in it by their text's hash."""
+        np.minimum.at(least, self.which, self.ids[self.doc])
+        np.maximum.at(most, self.which, self.ids[self.doc])
+        places = np.minimum(127, 8 * np.log2(np.bincount(self.which, minlength=len(self.seeds)) + 1e-9)).astype(np.uint8)
+        flags = places | ((least < most).astype(np.uint8) << 7)
         to = (self.seeds % self.buckets).astype(np.int64)
         digests = np.array([[int.from_bytes((d := xxhash.xxh3_128_digest(self.text(i)))[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), self.ids[i], i] for i in np.flatnonzero(~self.null & (self.sizes >= LENGTH))], dtype=np.int64).reshape(-1, 4)
         doc_to = (digests[:, 0].view(np.uint64) % self.buckets).astype(np.int64) if len(digests) else np.empty(0, dtype=np.int64)
-        many = self.many
         order, doc_order = np.argsort(to, kind="stable"), np.argsort(doc_to, kind="stable")
-        for b in np.union1d(to, doc_to).tolist():
-            own = order[np.searchsorted(to[order], b) : np.searchsorted(to[order], b, "right")]
-            docs = doc_order[np.searchsorted(doc_to[doc_order], b) : np.searchsorted(doc_to[doc_order], b, "right")]
-            yield b, self.seeds[own].tobytes() + many[own].astype(np.uint8).tobytes(), digests[docs].tobytes()
+        used = np.union1d(to, doc_to)
+        packed = np.empty((len(order), 9), dtype=np.uint8)
+        packed[:, :8] = self.seeds[order][:, None].view(np.uint8).reshape(-1, 8)
+        packed[:, 8] = flags[order]
+        ends = lambda x: np.searchsorted(x, np.append(used, np.iinfo(np.int64).max))
+        yield from packed_rows({"bucket": used}, {"seeds": (packed, ends(to[order])), "docs": (digests[doc_order], ends(doc_to[doc_order]))})
 
     def choose(self, shared: list[dict]) -> None:
-        """Take in which seeds are shared, and which documents are copies; then gather the contexts of shared seeds in other documents.
+        """Take in which seeds are shared or hot, and which documents are copies; then gather the contexts of shared seeds in other documents.
 
-        A context is the run of bytes that a seed's strings cover. Equal ones of the block are one record, under its smallest id.
+        A context is the run of bytes that a seed's strings cover. Equal ones of the block are one record, under its smallest id. What
+        is sent: the contexts of most seeds, and of hot ones their single strings, each filed by its own hash.
         """
         alive = np.zeros(len(self.seeds), dtype=bool)
+        hot = np.zeros(len(self.seeds), dtype=bool)
         self.copy = np.zeros(len(self.ids), dtype=bool)
         to = (self.seeds % self.buckets).astype(np.int64)
         order = np.argsort(to, kind="stable")
         ordered = to[order]
         for s in shared:
             own = order[np.searchsorted(ordered, s["bucket"]) : np.searchsorted(ordered, s["bucket"], "right")]
-            alive[own] = np.unpackbits(np.frombuffer(s["bits"], dtype=np.uint8), count=len(own)).astype(bool)
+            bits = np.unpackbits(np.frombuffer(s["bits"], dtype=np.uint8), count=2 * len(own)).astype(bool)
+            alive[own], hot[own] = bits[: len(own)], bits[len(own) :]
             self.copy[np.frombuffer(s["copies"], dtype=np.int64)] = True
         take = np.flatnonzero(alive[self.which] & ~self.copy[self.doc]) if len(self.hash) else np.empty(0, dtype=np.int64)
-        self.at_hash, self.at_lo, self.at_n, self.at_doc = self.hash[take], self.lo[take], self.n[take], self.doc[take]
+        self.at_lo, self.at_n, self.at_doc = self.lo[take], self.n[take], self.doc[take]
+        at_hash = self.hash[take]
         texts = contexts(self.bytes, self.at_lo, self.at_n)
-        words = texts.view(np.uint64)
-        mixed = self.at_hash.copy()
-        for c in range(words.shape[1]):
-            mixed = (mixed ^ words[:, c]) * _M1
-            mixed ^= mixed >> np.uint64(29)
-        order = np.lexsort((mixed, self.at_hash, (self.at_hash % self.buckets)))
-        same = np.zeros(len(order), dtype=bool)
-        same[1:] = (mixed[order[1:]] == mixed[order[:-1]]) & (self.at_n[order[1:]] == self.at_n[order[:-1]]) & (texts[order[1:]] == texts[order[:-1]]).all(axis=1)
-        record = np.cumsum(~same) - 1
-        self.at_record = np.empty(len(order), dtype=np.int64)
-        self.at_record[order] = record
-        firsts = order[~same]
-        self.rec_hash, self.rec_n, self.rec_text = self.at_hash[firsts], self.at_n[firsts], texts[firsts]
+        firsts, self.at_record = distinct(at_hash, self.at_n, texts)
+        rec_hash, self.rec_n, rec_text = at_hash[firsts], self.at_n[firsts], texts[firsts]
         self.rec_id = np.full(len(firsts), np.iinfo(np.int64).max)
         np.minimum.at(self.rec_id, self.at_record, self.ids[self.at_doc])
-        self.rec_bucket = (self.rec_hash % self.buckets).astype(np.int64)
-
-    def context_rows(self) -> Iterator[tuple[int, bytes]]:
-        """bucket and the packed records in it."""
-        z = zstandard.ZstdCompressor(level=1)
-        for b in np.unique(self.rec_bucket).tolist():
-            own = slice(np.searchsorted(self.rec_bucket, b), np.searchsorted(self.rec_bucket, b, "right"))
-            yield b, z.compress(self.rec_hash[own].tobytes() + self.rec_id[own].tobytes() + self.rec_n[own].astype(np.uint8).tobytes() + self.rec_text[own].tobytes())
+        self.rec_hot = hot[self.which[take]][firsts]
+        cold, warm = np.flatnonzero(~self.rec_hot), np.flatnonzero(self.rec_hot)
+        self.str_rec = np.repeat(warm, self.rec_n[warm])
+        count = self.rec_n[warm]
+        self.str_off = np.arange(len(self.str_rec)) - np.repeat(np.cumsum(count) - count, count)
+        strings = np.zeros((len(self.str_rec), WIDTH), dtype=np.uint8)
+        reach = np.arange(LENGTH)
+        for at in range(0, len(strings), 100_000):
+            part = slice(at, at + 100_000)
+            strings[part, :LENGTH] = rec_text[self.str_rec[part][:, None], self.str_off[part][:, None] + reach]
+        str_hash = mixed(rec_hash[self.str_rec], strings)
+        first, self.str_sent = distinct(str_hash, np.ones(len(str_hash), dtype=np.int64), strings)
+        str_id = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(str_id, self.str_sent, self.rec_id[self.str_rec])
+        # what is sent, in order of buckets
+        h = np.concatenate([rec_hash[cold], str_hash[first]])
+        by = np.argsort(h % self.buckets, kind="stable")
+        self.place = np.empty(len(by), dtype=np.int64)
+        self.place[by] = np.arange(len(by))
+        self.cold = cold
+        self.sent_hash, self.sent_id = h[by], np.concatenate([self.rec_id[cold], str_id])[by]
+        self.sent_n = np.concatenate([self.rec_n[cold], np.ones(len(first), dtype=np.int64)])[by]
+        self.sent_text = np.concatenate([rec_text[cold], strings[first]])[by]
+        self.sent_bucket = (self.sent_hash % self.buckets).astype(np.int64)
+
+    def context_rows(self) -> Iterator[dict]:
+        """By bucket the records sent to it: hash, id, number of strings, bytes."""
+        used = np.unique(self.sent_bucket)
+        ends = np.searchsorted(self.sent_bucket, np.append(used, np.iinfo(np.int64).max))
+        packed = np.concatenate([self.sent_hash[:, None].view(np.uint8).reshape(-1, 8), self.sent_id[:, None].view(np.uint8).reshape(-1, 8), self.sent_n[:, None].astype(np.uint8), self.sent_text], axis=1)
+        yield from packed_rows({"bucket": used}, {"records": (packed, ends)})
 
     def removed(self, answers: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
         """Of each document the limits (start, end) of its removed runs, as (m, 2)."""
-        masks = np.zeros(len(self.rec_hash), dtype=np.uint64)
+        got = np.zeros(len(self.sent_hash), dtype=np.uint64)
         z = zstandard.ZstdDecompressor()
         for a in answers:
-            own = slice(np.searchsorted(self.rec_bucket, a["bucket"]), np.searchsorted(self.rec_bucket, a["bucket"], "right"))
-            masks[own] = np.frombuffer(z.decompress(a["masks"]), dtype=np.uint64)
+            own = slice(np.searchsorted(self.sent_bucket, a["bucket"]), np.searchsorted(self.sent_bucket, a["bucket"], "right"))
+            got[own] = np.frombuffer(z.decompress(a["masks"]), dtype=np.uint64)
+        masks = np.zeros(len(self.rec_id), dtype=np.uint64)
+        masks[self.cold] = got[self.place[: len(self.cold)]]
+        sent = self.place[len(self.cold) + self.str_sent]
+        early = (got[sent] != 0) | (self.rec_id[self.str_rec] > self.sent_id[sent])
+        np.bitwise_or.at(masks, self.str_rec[early], np.uint64(1) << self.str_off[early].astype(np.uint64))
         mask = np.where(self.ids[self.at_doc] > self.rec_id[self.at_record], np.uint64(2**64 - 1), masks[self.at_record])
         order = np.argsort(self.at_lo, kind="stable")
         doc, lo, n, mask = self.at_doc[order], self.at_lo[order], self.at_n[order], mask[order]
@@ -199,6 +221,43 @@ WIDTH = -(-(2 * LENGTH - SEED) // 8) * 8  # a context's bytes, padded to whole w
 STRING = -(-LENGTH // 8) * 8
 
 
+def mixed(seed: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """A hash of each seed and row of bytes."""
+    out = seed.copy()
+    words = texts.view(np.uint64)
+    for c in range(words.shape[1]):
+        out = (out ^ words[:, c]) * _M1
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def distinct(seed: np.ndarray, n: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each distinct (seed, n, text), and of each row the number of its like. Rows are compared as bytes; the hash only orders them."""
+    order = np.lexsort((mixed(seed, texts), seed))
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = (seed[order[1:]] == seed[order[:-1]]) & (n[order[1:]] == n[order[:-1]]) & (texts[order[1:]] == texts[order[:-1]]).all(axis=1)
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(~same) - 1
+    return order[~same], number
+
+
+def packed_rows(keys: dict[str, np.ndarray], cols: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[dict]:
+    """Rows of keys and binaries, in batches of bounded size: of each column its items, one after the other, and where each row's begin."""
+    n = len(next(iter(keys.values())))
+    weight = sum(ends[1:] * (items.shape[1] * items.itemsize) for items, ends in cols.values()) if n else np.empty(0)
+    at = 0
+    while at < n:
+        before = weight[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(weight, before + SEND_BYTES)))
+        out = {k: v[at:to] for k, v in keys.items()}
+        for name, (items, ends) in cols.items():
+            width = items.shape[1] * items.itemsize
+            offsets = ((ends[at : to + 1] - ends[at]) * width).astype(np.int32)
+            out[name] = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(items[ends[at] : ends[to]]).tobytes())])
+        yield out
+        at = to
+
+
 def contexts(b: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """(len(lo), WIDTH) bytes from lo on, of n strings each; zeros behind."""
     out = np.zeros((len(lo), WIDTH), dtype=np.uint8)
@@ -211,7 +270,7 @@ def contexts(b: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """Documents packed into blocks: block (a number), raw (bytes), ids, nulls, sizes, packed."""
+    """Documents packed into blocks: block (a number), raw (bytes), ids, nulls, sizes, packed, and the anchors of all documents, computed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -221,9 +280,15 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         raw = made = 0
 
         def block() -> pa.RecordBatch:
+            begin = np.cumsum([0, *(len(t) for t in texts)])
+            found = [(i, anchors(np.frombuffer(t, dtype=np.uint8))) for i, t in enumerate(texts) if ids[i] is not None and len(t) >= LENGTH]
+            cat = lambda x, t: np.concatenate(x).astype(t).tobytes() if x else b""
+            m = sum(len(a[0]) for _, a in found)
+            kept = cat([a[0] for _, a in found], np.uint64) + cat([a[1] + begin[i] for i, a in found], np.int64) + cat([np.full(len(a[0]), i) for i, a in found], np.int32) + cat([a[2] for _, a in found], np.uint8)
             return pa.RecordBatch.from_pydict({
                 "block": [part + made], "raw": [raw], "ids": [np.array([x or 0 for x in ids], dtype=np.int64).tobytes()], "nulls": [bytes(x is None for x in ids)],
                 "sizes": [np.array([len(t) for t in texts], dtype=np.int64).tobytes()], "packed": [z.compress(b"".join(texts))],
+                "n_anchors": [m], "anchors": [z.compress(kept)],
             })
 
         for b in batches:
@@ -239,7 +304,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         if ids:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, raw long, ids binary, nulls binary, sizes binary, packed binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, raw long, ids binary, nulls binary, sizes binary, packed binary, n_anchors long, anchors binary")
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -249,28 +314,28 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def file_seeds(blocks: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, bits, copies: which of the block's seeds another document has too, and which of its documents repeat a smaller id's text."""
+    """block, bucket, bits, copies: which of the block's seeds another document has too, and which are hot; which of its documents repeat a smaller id's text."""
 
     def send(batches):
         for row in rows_of(batches):
-            block = Block(row, buckets)
-            block.file()
-            for b, seeds, docs in block.seed_rows():
-                yield pa.RecordBatch.from_pydict({"bucket": [b], "block": [row["block"]], "seeds": [seeds], "docs": [docs]})
+            for part in Block(row, buckets).seed_rows():
+                yield pa.RecordBatch.from_pydict({**part, "block": np.full(len(part["bucket"]), row["block"])})
 
     def meet(batches):
         for g in in_groups(batches, "bucket"):
             counts = np.array([len(s) // 9 for s in g["seeds"]], dtype=np.int64)
-            hashes = np.concatenate([np.frombuffer(s, dtype=np.uint64, count=n) for s, n in zip(g["seeds"], counts)])
-            alive = np.concatenate([np.frombuffer(s, dtype=np.uint8, offset=8 * n) for s, n in zip(g["seeds"], counts)]).astype(bool)
+            packed = np.frombuffer(b"".join(g["seeds"]), dtype=np.uint8).reshape(-1, 9)
+            hashes = np.ascontiguousarray(packed[:, :8]).view(np.uint64).ravel()
+            alive = packed[:, 8] >> 7 > 0
             order = np.argsort(hashes, kind="stable")
             twin = hashes[order[1:]] == hashes[order[:-1]]
             alive[order[1:][twin]] = True
             alive[order[:-1][twin]] = True
-            many = np.zeros(len(order), dtype=bool)  # a hash that one block has in two documents is shared in all
+            many, hot = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)  # what one block tells of a hash holds in all
             if len(order):
                 run = np.cumsum(np.concatenate([[True], ~twin])) - 1
                 many[order] = np.bincount(run, weights=alive[order])[run] > 0
+                hot[order] = np.bincount(run, weights=2.0 ** ((packed[order, 8] & 127) / 8))[run] >= HOT
             docs = [np.frombuffer(d, dtype=np.int64).reshape(-1, 4) for d in g["docs"]]
             whole = np.concatenate(docs)
             by = np.lexsort((whole[:, 2], whole[:, 1], whole[:, 0]))
@@ -280,11 +345,14 @@ def file_seeds(blocks: DataFrame, buckets: int) -> DataFrame:
             if len(by):
                 copies[by] = whole[by, 2] > whole[by[first], 2][np.cumsum(first) - 1]
             end, doc_end = np.cumsum(counts), np.cumsum([len(d) for d in docs])
-            for i, block in enumerate(g["block"]):
+            out = {"block": g["block"], "bucket": g["bucket"], "bits": [], "copies": []}
+            for i in range(len(counts)):
                 own, mine = slice(end[i] - counts[i], end[i]), slice(doc_end[i] - len(docs[i]), doc_end[i])
-                yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [g["bucket"][i]], "bits": [np.packbits(many[own]).tobytes()], "copies": [whole[mine][copies[mine], 3].tobytes()]})
+                out["bits"].append(np.packbits(np.concatenate([many[own], hot[own]])).tobytes())
+                out["copies"].append(whole[mine][copies[mine], 3].tobytes())
+            yield pa.RecordBatch.from_pydict(out)
 
-    sent = blocks.mapInArrow(send, "bucket long, block long, seeds binary, docs binary")
+    sent = blocks.mapInArrow(send, "bucket long, seeds binary, docs binary, block long")
     return sent.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(meet, "block long, bucket long, bits binary, copies binary")
 
 
@@ -354,25 +422,27 @@ def sort_contexts(blocks: DataFrame, shared: DataFrame, buckets: int) -> DataFra
     """block, bucket, masks: of the block's records in the bucket, which strings a smaller id has."""
 
     def send(batches):
+        z = zstandard.ZstdCompressor(level=1)
         for row in rows_of(batches):
             block = Block(row, buckets)
-            block.file()
             block.choose(row["shared"] or [])
-            for b, records in block.context_rows():
-                yield pa.RecordBatch.from_pydict({"bucket": [b], "block": [row["block"]], "records": [records]})
+            for part in block.context_rows():
+                part["records"] = pa.array([z.compress(r) for r in part["records"].to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_pydict({**part, "block": np.full(len(part["bucket"]), row["block"])})
 
     def meet(batches):
         z, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for g in in_groups(batches, "bucket"):
             raw = [z.decompress(r) for r in g["records"]]
             counts = [len(r) // (17 + WIDTH) for r in raw]
-            col = lambda t, before, width=1: np.concatenate([np.frombuffer(r, dtype=t, offset=before * n, count=n * width) for r, n in zip(raw, counts)])
-            masks = earlier_strings(col(np.uint64, 0), col(np.int64, 8), col(np.uint8, 16).astype(np.int64), col(np.uint8, 17, WIDTH).reshape(-1, WIDTH))
+            all_ = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(-1, 17 + WIDTH)
+            col = lambda a, b, t: np.ascontiguousarray(all_[:, a:b]).view(t).ravel()
+            masks = earlier_strings(col(0, 8, np.uint64), col(8, 16, np.int64), all_[:, 16].astype(np.int64), np.ascontiguousarray(all_[:, 17:]))
             end = np.cumsum(counts)
-            for i, block in enumerate(g["block"]):
-                yield pa.RecordBatch.from_pydict({"block": [block], "bucket": [g["bucket"][i]], "masks": [pack.compress(masks[end[i] - counts[i] : end[i]].tobytes())]})
+            packed = [pack.compress(masks[e - c : e].tobytes()) for c, e in zip(counts, end)]
+            yield pa.RecordBatch.from_pydict({"block": g["block"], "bucket": g["bucket"], "masks": packed})
 
-    sent = with_lists(blocks, shared, "shared").mapInArrow(send, "bucket long, block long, records binary")
+    sent = with_lists(blocks, shared, "shared").mapInArrow(send, "bucket long, records binary, block long")
     return sent.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(meet, "block long, bucket long, masks binary")
 
 
@@ -392,9 +462,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by their seed; seeds of one document only are dropped first, then the strings of the rest meet by seed and are put in
     order by deep-shallow sorting, where equal strings are neighbours.
 
-    Ids must be integers. Null texts are empty; texts under 50 bytes lose nothing. Rows with one doc_id are one document, so they
-    take nothing from each other. Rows with a null id neither lose nor take bytes. An empty table gives no rows; other
-    columns of df, whatever their names, play no part.
+    What is exchanged grows with the input: a block of documents sends each of its distinct seeds once, in a row for each bucket
+    at most, and of shared seeds their distinct contexts; strings of a seed with HOT places or more are dealt one by one, so that no
+    task takes all of them. Whole copies of a document are told by 128-bit hashes; all other strings are compared as bytes.
+
+    Ids must be integers. Null texts are empty; texts under 50 bytes lose nothing. A text longer than a block is a block of its own, held
+    whole by one task. Rows with one doc_id are one document, so they take nothing from each other; repeated rows give repeated
+    results; of equal strings the smallest doc_id keeps its own. Rows with a null id neither lose nor take bytes. An empty table
+    gives no rows; other columns of df, whatever their names, play no part.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     blocks = cut(blocks_of(id_and_text(df, id_col, text_col)))
@@ -406,7 +481,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def finish(batches):
         for row in rows_of(batches):
             block = Block(row, buckets)
-            block.file()
             block.choose(row["shared"] or [])
             out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
             for i, spans in block.removed(row["masks"] or []):

@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from sievework.llm import substrings
+from sievework.llm import deep_shallow as sorting
 from sievework.llm.deep_shallow import deep_shallow
 
 
@@ -54,7 +55,8 @@ def corpus(seed, n=120):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed in range(3):
+    for seed, hot in ((0, 20_000), (1, 3), (2, 1)):  # seeds that are hot, in no, some and all cases
+        monkeypatch.setattr(substrings, "HOT", hot)
         monkeypatch.setattr(substrings, "BLOCK_BYTES", 4000)
         monkeypatch.setattr(substrings, "BUCKET_BYTES", 9000)
         rows = corpus(seed)
@@ -63,6 +65,27 @@ def test_against_brute_force(spark, monkeypatch):
         assert got == sorted(brute(rows), key=str)
 
 
+def test_rows_sent_are_bounded(monkeypatch):
+    """A block sends each distinct seed once, in at most as many rows as it has seeds, however many buckets there are; batches are bounded."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)).encode() for _ in range(20)]
+    z = substrings.zstandard.ZstdCompressor()
+    found = [substrings.anchors(np.frombuffer(t, dtype=np.uint8)) for t in texts]
+    kept = np.concatenate([a[0] for a in found]).tobytes() + np.concatenate([a[1] + 3000 * i for i, a in enumerate(found)]).astype(np.int64).tobytes()
+    kept += np.concatenate([np.full(len(a[0]), i) for i, a in enumerate(found)]).astype(np.int32).tobytes() + np.concatenate([a[2] for a in found]).astype(np.uint8).tobytes()
+    row = {"ids": np.arange(20).tobytes(), "nulls": bytes(20), "sizes": np.full(20, 3000).tobytes(), "packed": z.compress(b"".join(texts)), "anchors": z.compress(kept), "n_anchors": sum(len(a[0]) for a in found)}
+    monkeypatch.setattr(substrings, "SEND_BYTES", 2000)
+    for buckets in (1, 7, 1000, 10**9, 10**15):
+        block = substrings.Block(row, buckets)
+        parts = list(block.seed_rows())
+        rows = [(b, s) for p in parts for b, s in zip(p["bucket"].tolist(), p["seeds"].to_pylist())]
+        assert len(rows) <= min(buckets, len(block.seeds) + 20) and len({b for b, _ in rows}) == len(rows)
+        got = np.frombuffer(b"".join(s for _, s in rows), dtype=np.uint8).reshape(-1, 9)
+        assert sorted(np.ascontiguousarray(got[:, :8]).view(np.uint64).ravel().tolist()) == block.seeds.tolist()
+        assert all(sum(map(len, p["seeds"].to_pylist())) <= 2000 or len(p["bucket"]) == 1 for p in parts)
+        assert all(int(h) % buckets == b for b, s in rows for h in np.ascontiguousarray(np.frombuffer(s, dtype=np.uint8).reshape(-1, 9)[:, :8]).view(np.uint64).ravel())
+
+
 def test_chunks_give_the_same(monkeypatch):
     rng = np.random.default_rng(1)
     texts = rng.integers(97, 99, (400, substrings.WIDTH), dtype=np.uint8)
@@ -76,9 +99,10 @@ def test_chunks_give_the_same(monkeypatch):
     assert (substrings.earlier_strings(hash_, ids, n, texts) == whole).all() and whole.any()
 
 
-def test_sorting_order_and_leaves():
+def test_sorting_order_and_leaves(monkeypatch):
     rng = np.random.default_rng(0)
-    for shallow in (0, 8, 16):
+    for shallow, small in ((0, 1024), (8, 1024), (16, 1024), (8, 1), (16, 1), (24, 7)):
+        monkeypatch.setattr(sorting, "SMALL", small)
         s = rng.integers(97, 99, (500, 24), dtype=np.uint8)
         s[:, :14] = 97
         s[rng.integers(0, 500, 200)] = s[rng.integers(0, 500, 200)]
