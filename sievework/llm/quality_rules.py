@@ -145,11 +145,11 @@ def first_estimates(rows: DataFrame, few: bool) -> DataFrame:
     """
     names = list(FEATURES)
     med = cut(medians(rows, [F.col(f) for f in names]))
-    mad = cut(medians(with_estimates(rows, med, few), [F.abs(F.col(f) - F.col(f"at_{i}")) for i, f in enumerate(names)]))
+    mad = medians(with_estimates(rows, med, few), [F.abs(F.col(f) - F.col(f"at_{i}")) for i, f in enumerate(names)])
     spread = mad.select("g", *(F.col(f"at_{i}").alias(f"a_{i}") for i in range(len(names))))
     scale = lambda i, j: F.greatest(F.lit(1.4826) * F.col(f"a_{i}"), F.lit(FEATURES[names[i]])) if i == j else F.lit(0.0)
     start = med.join(spread, "g").select("g", F.lit(0).alias("start"), *(F.col(f"at_{i}").alias(f"m_{i}") for i in range(len(names))), *(scale(i, j).alias(f"c_{i}_{j}") for i in range(len(names)) for j in range(i + 1)))
-    sizes = cut(rows.groupBy("g").agg(F.count("*").alias("size")))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
     chance = F.pmod(F.xxhash64("start", *names), F.lit(1 << 30)) / (1 << 30)
     others = with_estimates(rows, sizes, few).withColumn("start", F.explode(F.array(*(F.lit(k) for k in range(1, STARTS))))).where(chance * F.col("size") < SUBSET)
     return with_determinant(start).unionByName(covariance(others))
@@ -158,7 +158,7 @@ def first_estimates(rows: DataFrame, few: bool) -> DataFrame:
 def concentrate(rows: DataFrame, est: DataFrame, few: bool, share: float) -> DataFrame:
     """One step for each g and start: the rows with the smallest distances, a share of each group, give the next means and covariances."""
     far = distance(with_estimates(rows, est.drop("ld"), few)).select("g", "start", *FEATURES, F.floor(F.log2(F.col("d2") + 1.0) * (BINS // 8)).alias("at"))
-    limit = cut(quantile(far, ["g", "start"], F.col("at"), share)).withColumnRenamed("at", "limit")
+    limit = quantile(far, ["g", "start"], F.col("at"), share).withColumnRenamed("at", "limit")
     side = F.broadcast(limit) if few else limit
     return cut(covariance(far.join(side, ["g", "start"]).where(F.col("at") <= F.col("limit"))))
 
