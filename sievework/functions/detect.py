@@ -49,8 +49,8 @@ def columns_of(line: Column, delimiter: str) -> Column:
     return F.char_length(line) - F.char_length(F.replace(line, F.lit(delimiter), F.lit(""))) + 1
 
 
-def table_format(content: Column) -> Column:
-    """markdown, csv or tsv, or null if the payload is no table."""
+def table_format(content: Column, first: Column | None = None) -> Column:
+    """markdown, csv or tsv, or null if the payload is no table. The first twenty rows decide; first, the payload's first lines, mostly holds them."""
     def regular(rows: Column, delimiter: str) -> Column:
         n = columns_of(F.get(rows, F.lit(0)), delimiter)
         return (n >= 2) & F.forall(F.slice(rows, 2, 19), lambda r: columns_of(r, delimiter) == n)
@@ -59,48 +59,50 @@ def table_format(content: Column) -> Column:
         markdown = F.get(rows, F.lit(0)).contains("|") & F.get(rows, F.lit(1)).rlike(RULE_ROW)
         return F.when(F.size(rows) < 8, F.lit(None)).when(markdown, "markdown").when(regular(rows, ","), "csv").when(regular(rows, "\t"), "tsv")
 
-    return let(F.filter(lines_of(content), not_blank), of)
+    whole = F.filter(lines_of(content), not_blank)
+    if first is None:
+        return let(whole, of)
+    return let(F.filter(F.slice(first, 1, 100), not_blank), lambda rows: F.when(F.size(rows) >= 20, of(rows)).otherwise(let(whole, of)))
 
 
 def is_json(content: Column) -> Column:
     """Parses as JSON and begins as an object or an array. Unlike the JavaScript parser, repeated keys count as invalid."""
-    t = strip(content)
-    return t.rlike(r"^[\[{]") & F.try_parse_json(t).isNotNull()
+    return F.when(content.rlike(r"^\s*[\[{]"), F.try_parse_json(strip(content)).isNotNull()).otherwise(False)
 
 
 def with_kind(df: DataFrame, content: str = "content") -> DataFrame:
     """df with kind and confidence of its content column. No row leaves its partition."""
     c = F.col(content)
-    d = df.withColumn("__first", F.slice(F.split(c, r"\r?\n", 501), 1, 500)).withColumn("__table", table_format(c))
-    first = F.col("__first")
+    first, early, n = F.col("__first"), F.col("__early"), F.col("__n")
+    d = df.withColumn("__first", F.slice(F.split(c, r"\r?\n", 501), 1, 500))
+    whole = [
+        ("text", ~not_blank(c), 0.0),
+        ("html", F.contains(c, F.lit("<")) & c.rlike(HTML), 0.98),
+        ("json", is_json(c), 1.0),
+        ("table", table_format(c, first).isNotNull(), 0.95),
+    ]
+    decided = F.when(whole[0][1], whole[0][0])
+    for name, test, _ in whole[1:]:
+        decided = decided.when(test, name)
+    d = d.withColumn("__early", decided)
+    # each kind's lines are counted only if no kind before it is met
     hundred = F.filter(F.slice(first, 1, 100), not_blank)
     two_hundred = F.filter(F.slice(first, 1, 200), not_blank)
-    d = d.withColumn(
-        "__n",
-        F.struct(
-            count_where(first, lambda x: x.rlike(DIFF_HEADER)).alias("headers"),
-            count_where(first, lambda x: x.rlike(DIFF_CHANGE)).alias("changes"),
-            count_where(hundred, lambda x: x.rlike(DECLARATION)).alias("declared"),
-            count_where(hundred, lambda x: x.rlike(DECLARATION) | x.rlike(SUPPORT)).alias("code"),
-            F.size(hundred).alias("hundred"),
-            count_where(hundred, is_search_line).alias("search"),
-            F.size(two_hundred).alias("two_hundred"),
-            count_where(two_hundred, lambda x: x.rlike(LOG)).alias("log"),
-        ),
-    )
-    n = F.col("__n")
-    share_search, share_log = n["search"] / F.nullif(n["hundred"], F.lit(0)), n["log"] / F.nullif(n["two_hundred"], F.lit(0))
+    some = lambda test, count: F.when(test, count).otherwise(0)
+    d = d.withColumn("__n", F.struct(some(early.isNull(), count_where(first, lambda x: x.rlike(DIFF_HEADER))).alias("headers")))
+    d = d.withColumn("__n", F.struct("__n.*", some(n["headers"] > 0, count_where(first, lambda x: x.rlike(DIFF_CHANGE))).alias("changes"), some(early.isNull() & (n["headers"] == 0), count_where(hundred, lambda x: x.rlike(DECLARATION))).alias("declared")))
+    d = d.withColumn("__n", F.struct("__n.*", some(n["declared"] > 0, count_where(hundred, lambda x: x.rlike(DECLARATION) | x.rlike(SUPPORT))).alias("code")))
+    d = d.withColumn("__n", F.struct("__n.*", F.when(early.isNull() & (n["headers"] == 0) & (n["code"] < 3), count_where(hundred, is_search_line) / F.nullif(F.size(hundred), F.lit(0))).alias("search")))
+    d = d.withColumn("__n", F.struct("__n.*", F.when(n["search"] < 0.3, count_where(two_hundred, lambda x: x.rlike(LOG)) / F.nullif(F.size(two_hundred), F.lit(0))).alias("log")))
     rules = [
-        ("text", ~not_blank(c), F.lit(0.0)),
-        ("html", c.rlike(HTML), F.lit(0.98)),
-        ("json", is_json(c), F.lit(1.0)),
-        ("table", F.col("__table").isNotNull(), F.lit(0.95)),
         ("diff", n["headers"] > 0, F.least(F.lit(1.0), 0.5 + n["headers"] * 0.2 + n["changes"] * 0.05)),
-        ("code", (n["declared"] >= 1) & (n["code"] >= 3), F.least(F.lit(1.0), 0.5 + n["code"] * 0.03)),
-        ("search", share_search >= 0.3, F.least(F.lit(1.0), 0.4 + share_search * 0.6)),
-        ("log", share_log >= 0.1, F.least(F.lit(1.0), 0.3 + share_log * 0.5)),
+        ("code", n["code"] >= 3, F.least(F.lit(1.0), 0.5 + n["code"] * 0.03)),
+        ("search", n["search"] >= 0.3, F.least(F.lit(1.0), 0.4 + n["search"] * 0.6)),
+        ("log", n["log"] >= 0.1, F.least(F.lit(1.0), 0.3 + n["log"] * 0.5)),
     ]
-    kind, conf = F.when(rules[0][1], rules[0][0]), F.when(rules[0][1], rules[0][2])
-    for name, test, value in rules[1:]:
+    kind, conf = F.when(early.isNotNull(), early), F.when(early == whole[0][0], F.lit(whole[0][2]))
+    for name, _, value in whole[1:]:
+        conf = conf.when(early == name, F.lit(value))
+    for name, test, value in rules:
         kind, conf = kind.when(test, name), conf.when(test, value)
-    return d.withColumn("kind", kind.otherwise("text")).withColumn("confidence", conf.otherwise(0.5)).drop("__first", "__table", "__n")
+    return d.withColumn("kind", kind.otherwise("text")).withColumn("confidence", conf.otherwise(0.5)).drop("__first", "__early", "__n")

@@ -41,7 +41,7 @@ def lines_of(content: Column) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def not_blank(x: Column) -> Column:

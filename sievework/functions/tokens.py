@@ -11,18 +11,23 @@ from sievework.functions.text import R, let
 
 #: Fixed patterns.
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
-CODE_SIGNAL = rf"(?m)(?:^|\n)\s*(?:import|export|class|interface|type|function|def|fn|const|let|var|public|private|protected){R}|=>|\{{[\s\S]*\}}"
+CODE_LINE = rf"(?m)^\s*(?:import|export|class|interface|type|function|def|fn|const|let|var|public|private|protected){R}"
 HIGH_ENTROPY = r"^[A-Za-z0-9+/=_-]+$"
 PROSE_TOKEN = r"[\p{L}\p{N}_]{1,4}|[^\s\p{L}\p{N}_]"  # a word of n characters gives n / 4 matches, rounded up
 CODE_PIECE = r"[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|[^\s\w]"
 
 
+def reads_like_code(x: Column) -> Column:
+    """An arrow, a closing brace behind an opening one, or a line that begins with one of some words; the cheap signs first."""
+    return F.contains(x, F.lit("=>")) | (F.contains(x, F.lit("{")) & F.contains(x.substr(F.instr(x, "{"), F.char_length(x)), F.lit("}"))) | x.rlike(CODE_LINE)
+
+
 def token_class(x: Column) -> Column:
     n = F.char_length(x)
     cats = sum((x.rlike(p).cast("int") for p in ("[A-Z]", r"\d", "[+/=_-]")), x.rlike("[a-z]").cast("int"))
     ascii_only = F.octet_length(x) == n
     random = (n >= 32) & x.rlike(HIGH_ENTROPY) & (cats >= 3) & (F.size(F.array_distinct(F.split(x, ""))) / n >= 0.25)
-    return F.when(n == 0, "prose").when(~ascii_only & (F.regexp_count(x, F.lit(CJK)) / n >= 0.15), "cjk").when(random, "high_entropy").when(x.rlike(CODE_SIGNAL), "code").otherwise("prose")
+    return F.when(n == 0, "prose").when(~ascii_only & (F.regexp_count(x, F.lit(CJK)) / n >= 0.15), "cjk").when(random, "high_entropy").when(reads_like_code(x), "code").otherwise("prose")
 
 
 def _sum(xs: Column, weight) -> Column:
@@ -38,11 +43,16 @@ def cjk_tokens(x: Column) -> Column:
     return F.regexp_count(x, F.lit(CJK)) + prose_tokens(F.regexp_replace(x, CJK, " "))
 
 
+def _between(x: Column, first: str, last: str) -> Column:
+    """Whether x begins with an ASCII character from first to last."""
+    return (x >= first) & (x < chr(ord(last) + 1))
+
+
 def code_tokens(x: Column) -> Column:
     """Names by quarters, numbers by thirds, other marks 0.6 each; summed in fifths so that no rounding creeps in."""
     fifths = _sum(
         F.regexp_extract_all(x, F.lit(CODE_PIECE), F.lit(0)),
-        lambda p: F.when(p.rlike("^[A-Za-z_$]"), 5 * F.ceil(F.char_length(p) / 4)).when(p.rlike(r"^\d"), 5 * F.ceil(F.char_length(p) / 3)).otherwise(F.lit(3)),
+        lambda p: F.when(_between(p, "a", "z") | _between(p, "A", "Z") | p.startswith("_") | p.startswith("$"), 5 * F.ceil(F.char_length(p) / 4)).when(_between(p, "0", "9"), 5 * F.ceil(F.char_length(p) / 3)).otherwise(F.lit(3)),
     )
     return F.greatest(F.lit(1), F.ceil(fifths / 5))
 

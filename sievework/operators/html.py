@@ -71,19 +71,33 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?i)href\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
 
 
+def may_hold_facts(content: Column) -> Column:
+    """Whether some line, segment or part of a page may be protected: plain words are looked for, as most payloads have none of them."""
+
+    def of(small: Column) -> Column:
+        out = F.contains(small, F.lit("file")) & small.rlike(r"file\s+\"")
+        for w in ("error", "fail", "fatal", "critical", "exception", "warning", "security", "traceback"):
+            out = F.contains(small, F.lit(w)) | out
+        return out | small.rlike(r"(?m)^\s*at\s|[.!?>]\s*at\s")
+
+    return let(F.lower(content), of)
+
+
 def protected_facts(kind: Column, content: Column) -> Column:
     """What a shorter form must hold: lines, segments or parts that the kind protects. JSON's facts need a parser and are left to it."""
     hit = lambda x: x.rlike(PROTECTED)
     none = F.array().cast("array<string>")
-    some = content.rlike("(?m)" + PROTECTED + r"|[.!?]\s+at\s")  # the last for segments within a line; most payloads have none, and one look over the whole text tells so
+    some = may_hold_facts(content)
     trimmed = F.filter(F.transform(lines_of(content), strip), lambda x: x != "")
     rows = F.filter(lines_of(content), not_blank)
     head = squeeze(F.regexp_replace(F.regexp_extract(content, rf"(?is)<title{R}[^>]*>(.*?)</title>", 1), r"<[^>]+>", " "))
-    nodes = F.filter(F.transform(F.regexp_extract_all(content, F.lit(r">([^<>]+)<"), F.lit(1)), squeeze), lambda x: (x != "") & hit(x))
+    nodes = F.when(~some, none).otherwise(F.filter(F.transform(F.regexp_extract_all(content, F.lit(r">([^<>]+)<"), F.lit(1)), squeeze), lambda x: (x != "") & hit(x)))
     page = F.array_distinct(F.filter(F.concat(F.array(head), links(content), nodes), lambda x: x != ""))
     return (
         F.when(kind == "json", none)
+        .when((kind == "code") & ~some, F.filter(trimmed, lambda x: x.rlike(DECLARED)))
         .when(kind == "code", F.filter(trimmed, lambda x: x.rlike(DECLARED) | hit(x)))
+        .when((kind == "table") & ~some, F.slice(rows, 1, 2))
         .when(kind == "table", let(rows, lambda r: F.concat(F.slice(r, 1, 2), F.filter(F.slice(r, 3, F.greatest(F.lit(1), F.size(r))), hit))))
         .when(kind == "html", page)
         .when(~some, none)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievework.functions import detect, tokens
+from sievework.functions import detect, text, tokens
 from sievework.operators import html, lines, lossless, rank
 from sievework.plans.basic import kind_sql, tokens_sql
 from sievework.plans.payloads import _SEG, _lines
@@ -21,9 +21,11 @@ def html_links(spark, d):
 
 
 def protected_facts(spark, d):
-    v = detect.with_kind(spark_view(spark, d, "v_all")).where("kind <> 'json'")
-    facts = v.select("view_name", "id", "kind", html.protected_facts(F.col("kind"), F.col("content")).alias("f"))
-    return facts.select("view_name", "id", F.size("f").cast("long").alias("facts"), F.sha2(F.array_join("f", "\n"), 256).alias("facts_sha256"))
+    v = detect.with_kind(spark_view(spark, d, "v_all"))
+    facts = F.when(F.col("kind") != "json", html.protected_facts(F.col("kind"), F.col("content")))  # JSON's facts need a parser
+    one = text.let(facts, lambda f: F.when(f.isNotNull(), F.array(F.struct(F.size(f).cast("long").alias("facts"), F.sha2(F.array_join(f, "\n"), 256).alias("facts_sha256")))))
+    # the filter stays above the generator, so kinds and facts are computed once
+    return v.select("view_name", "id", F.explode_outer(one).alias("f")).where("f is not null").select("view_name", "id", "f.*")
 
 
 def gate_decisions(spark, d):
