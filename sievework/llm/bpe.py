@@ -247,8 +247,11 @@ def decode_documents(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids
 def bpe_digests(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: doc_id, n_tokens, ids_sha256, decoded_sha256 of the whole text encoded and decoded again.
 
-    A map without a shuffle. Null and empty texts have no tokens; repeated rows give repeated results; a null id stays null;
-    other columns of df, also ones named as results are, play no part.
+    A map without a shuffle. The trie's nodes are visited in sorted order of the words, which is depth first, a level of states at a time, so
+    that array operations serve all words of a batch. Null and empty texts have no tokens. A text of any length is encoded whole; a
+    word longer than the trie takes is merged on its own, with equal results. Of equal merges the leftmost comes first. Repeated rows
+    give repeated results; a null id stays null; an empty table gives no rows; other columns of df, also ones named as results
+    are, play no part.
     """
     content = read_vocab(vocab_path)
 

@@ -150,8 +150,10 @@ def render(spans: list[tuple[int, int, int]]) -> str:
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: SecretConfig | None = None) -> DataFrame:
     """One row for each row of df: doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans.
 
-    A map without a shuffle over whole texts. Null and empty texts have no spans; repeated rows give repeated results; a
-    null id stays null; an empty table gives no rows; other columns of df, also ones named as results are, play no part.
+    A map without a shuffle over whole texts. Null and empty texts have no spans. A text of any length is scanned in one piece, in time by
+    its length; a match as long as the text is one span. Spans that start at one place come in the order of KINDS, entropy spans give way to
+    base ones. Repeated rows give repeated results; a null id stays null; an empty table gives no rows; other columns of df, also
+    ones named as results are, play no part.
     """
 
     def make():

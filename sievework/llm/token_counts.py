@@ -66,8 +66,12 @@ class TrieCounter:
 def count_tokens(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: doc_id, n_pretokens, n_tokens, cost (of the whole text, in thousandths of a nat).
 
-    A map without a shuffle over whole texts. Null and empty texts have none; repeated rows give repeated results; a null
-    id stays null; other columns of df, also ones named as results are, play no part.
+    A map without a shuffle over whole texts. Null and empty texts have none. A text of any length is counted whole; a pre-token beyond
+    MAX_TRIE_WORD bytes takes the same forward pass without entering the trie, so that no single one fills a task's memory. Of equal costs
+    the segmentation with fewer pieces counts. Repeated rows give repeated results; a null id stays null; an empty table gives no
+    rows; other columns of df, also ones named as results are, play no part.
+
+    The scores come from the public vocabulary alone: tokenizers are not trained here, so neither are a unigram tokenizer's scores.
     """
     content = read_vocab(vocab_path)
 
