@@ -67,45 +67,38 @@ def shifted(list_: Column, off: Column, slop: int = 0) -> Column:
     return F.transform(list_, lambda p: p - off) if not slop else F.flatten(F.transform(list_, lambda p: F.sequence(p - off - slop, p - off + slop)))
 
 
-def find_matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame:
+def find_matches(index: DataFrame, windows: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """A row for each row of the index and window that match there: r, win_id, n (words), items, exact (starts), near (starts).
 
-    The list of the window's rarest term, shifted by its offset, holds the places where the window may begin. It is intersected with
-    the next rarest term's list, and what is left with the others' lists one by one, from rare to frequent, until nothing is left.
-    exact: each list has the place's word at its offset. near: each list has a position within slop words of that; exact places are
-    near, too. Windows that are small together are broadcast, and so are candidates; else lists and candidates meet by a shuffle on
-    row and term. A row's other lists are never copied beside a candidate, so long documents cost no more than their words.
+    The list of the window's rarest term, shifted by its offset, holds the places where the window may begin. The other terms' lists
+    are looked up one by one, from rare to frequent, until one is missing, and then intersected with it in that order until no place is
+    left. exact: each list has the place's word at its offset. near: each list has a position within slop words of that; exact places
+    are near, too. Windows that are small together are broadcast, and lists are met where they are stored; else the lists of the
+    rarest terms meet the windows by a shuffle, and then the rows of those documents. Only a window's own lists leave the index's row.
     """
     size = 2 * F.octet_length(F.array_join("win", " ")) + 40 * F.col("n") + 16 * F.size("items")
-    small = if_small(windows, size) is not windows
-    side = lambda w: F.broadcast(w) if small else w
-    lists = posting_rows(index)
-    keys = lambda df, *cols: if_small(cut(df.select(*cols).distinct()), F.octet_length("term") if "term" in cols else None)
-    first = lists.join(keys(windows, "term"), "term", "left_semi") if not small else lists
-    found = cut(first.join(side(windows.select("win_id", "term", "off")), "term").select("r", "win_id", shifted(F.col("list"), F.col("off")).alias("near")))
-
-    second = windows.where(F.size("rest") > 0).select("win_id", F.col("rest")[0]["off"].alias("off"), F.col("rest")[0]["term"].alias("term"))
-    asked = found.join(side(second), "win_id")
-    near = F.array_intersect("near", shifted(F.col("list"), F.col("off"), slop))
-    exact = F.array_intersect(F.filter("near", lambda s: s >= 0), shifted(F.col("list"), F.col("off")))
-    both = with_lists(asked, lists, keys(second, "term")).select("r", "win_id", near.alias("near"), exact.alias("exact")).where(F.size("near") > 0)
-    single = found.join(side(windows.where(F.size("rest") == 0).select("win_id")), "win_id", "left_semi").select("r", "win_id", "near", F.filter("near", lambda s: s >= 0).alias("exact"))
-    left = cut(both.unionAll(single))
-
-    others = windows.where(F.size("rest") > 1).select("win_id", "n", F.posexplode(F.slice("rest", F.lit(2), F.size("rest"))).alias("rank", "t")).select("win_id", "n", "rank", "t.off", "t.term")
-    asked = left.join(side(others), "win_id")
-    by = with_lists(asked, lists, keys(others, "term")).groupBy("r", "win_id").agg(F.first("near").alias("near"), F.first("exact").alias("exact"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "off", "list"))).alias("t"))
-    fold = lambda start, d: F.aggregate("t", F.col(start), lambda acc, t: F.when(F.size(acc) == 0, acc).otherwise(F.array_intersect(acc, shifted(t["list"], t["off"], d))))
-    all_ = by.where(F.size("t") == F.col("n") - 2).select("r", "win_id", fold("near", slop).alias("near"), fold("exact", 0).alias("exact")).where(F.size("near") > 0)
-    short = left.join(side(windows.where(F.size("rest") <= 1).select("win_id")), "win_id", "left_semi").select("r", "win_id", "near", "exact")
-    return all_.unionAll(short).join(side(windows.select("win_id", "n", "items")), "win_id").select("r", "win_id", "n", "items", "exact", "near")
-
-
-def with_lists(asked: DataFrame, lists: DataFrame, terms: DataFrame) -> DataFrame:
-    """asked (r, term, ...) with the lists of their rows and terms; few of them are broadcast, else lists of other terms stay where they are."""
-    asked = cut(asked)
-    side = if_small(asked, F.octet_length("term") + 8 * F.size("near"))
-    return lists.join(side, ["r", "term"]) if side is not asked else lists.join(terms, "term", "left_semi").join(asked, ["r", "term"])
+    side = if_small(windows, size)
+    plans = ("win_id", "n", "items", "off", "rest")
+    if side is not windows:
+        met = index.select("r", "terms", "postings", F.posexplode("terms").alias("k", "term")).join(side, "term")
+        first = F.get(F.col("postings"), F.col("k"))
+    else:
+        rarest = cut(windows.select("term").distinct())
+        found = posting_rows(index).join(if_small(rarest, F.octet_length("term")), "term", "left_semi").join(windows, "term")
+        met = found.select("r", "list", *plans).join(index.select("r", "terms", "postings"), "r")
+        first = F.col("list")
+    # nothing but functions that generated code has, so that no document's lists are copied beside a candidate
+    none = F.array().cast("array<int>")
+    lists, missing = [], F.when(F.lit(False), F.lit(True))
+    for i in range(window - 1):
+        at = F.array_position("terms", F.get(F.col("rest"), F.lit(i))["term"]).cast("int") - 1
+        lists.append(F.when(F.size("rest") <= i, none).when(at >= 0, F.get(F.col("postings"), at)).alias(f"l{i}"))
+        missing = missing.when((F.size("rest") > i) & (at < 0), True)  # a chain of cases is taken in its order, so the rarest terms end most of them
+    asked = cut(met.where(~missing.otherwise(False)).select("r", *plans, first.alias("first"), *lists))
+    lists = F.array(*(F.col(f"l{i}") for i in range(window - 1)))
+    fold = lambda start, d: F.aggregate(F.arrays_zip(F.col("rest"), F.slice(lists, F.lit(1), F.size("rest")).alias("list")), start, lambda acc, t: F.when(F.size(acc) == 0, acc).otherwise(F.array_intersect(acc, shifted(t["list"], t["rest"]["off"], d))))
+    near = asked.select("*", fold(shifted(F.col("first"), F.col("off")), slop).alias("near")).where(F.size("near") > 0)
+    return near.select("r", "win_id", "n", "items", fold(F.filter("near", lambda s: s >= 0), 0).alias("exact"), "near")
 
 
 def covered(spans: Column) -> Column:
@@ -126,7 +119,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     """
     index = positional_index(id_and_text(df, id_col, text_col))
     windows = cut(test_windows(id_and_text(benchmark, item_col, item_text_col), window))
-    found = find_matches(index, cut(rarest_first(index, windows)), slop)
+    found = find_matches(index, cut(rarest_first(index, windows)), window, slop)
     spans = F.transform("exact", lambda s: F.struct(s.alias("start"), F.col("n").alias("n")))
     hit = F.size("exact") > 0
     rows = index.select("r", "doc_id", "n_words", F.lit(None).cast("array<struct<start:int,n:int>>").alias("spans"), F.lit(None).cast(windows.schema["items"].dataType).alias("items"), F.lit(0).alias("near_only"))
