@@ -28,7 +28,7 @@ def test_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def positional_index(docs: DataFrame) -> DataFrame:
-    """The stored index, a row for each row of docs: r (a number), doc_id, n_words, terms (distinct, in order), postings (of each term its positions, ascending).
+    """The stored index, a row for each row of docs: r (a number), doc_id, n_words, terms (distinct, in order), hashes (of the terms, to find them by), postings (of each term its positions, ascending).
 
     Lists are kept by document, as segments of a distributed index are: nothing is shuffled to build them, and a hot term's list is as
     long as its document allows at most.
@@ -39,11 +39,11 @@ def positional_index(docs: DataFrame) -> DataFrame:
     runs = places.select("doc_id", "n_words", "s", begins.alias("b"))
     terms = F.transform("b", lambda i: F.get(F.col("s"), i)["term"])
     postings = F.transform("b", lambda i, k: F.transform(F.slice(F.col("s"), i + 1, F.coalesce(F.get(F.col("b"), k + 1), F.size("s")) - i), lambda x: x["pos"]))
-    return stored(runs.select(F.monotonically_increasing_id().alias("r"), "doc_id", "n_words", terms.alias("terms"), postings.alias("postings")))
+    return stored(runs.select(F.monotonically_increasing_id().alias("r"), "doc_id", "n_words", terms.alias("terms"), F.transform(terms, lambda t: F.hash(t)).alias("hashes"), postings.alias("postings")))
 
 
 def rarest_first(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """The windows with their rarest term by occurrences in the index (term, off) and the other ones from rare to frequent (rest: off, term).
+    """The windows with their rarest term by occurrences in the index (term, off) and the other ones from rare to frequent (rest: off, term, hash).
 
     Windows with a term that the index lacks are left out: they can't occur there.
     """
@@ -53,52 +53,49 @@ def rarest_first(index: DataFrame, windows: DataFrame) -> DataFrame:
     df = lists.join(if_small(vocab, F.octet_length("term")), "term").groupBy("term").agg(F.sum("n").alias("df"))
     ranked = terms.join(df, "term", "left").groupBy("win_id", "win").agg(F.min(F.coalesce("df", F.lit(0))).alias("least"), F.sort_array(F.collect_list(F.struct("df", "off", "term"))).alias("by_df"))
     first = F.col("by_df")[0]
-    rest = F.transform(F.slice("by_df", F.lit(2), F.size("by_df")), lambda x: F.struct(x["off"].alias("off"), x["term"].alias("term")))
+    rest = F.transform(F.slice("by_df", F.lit(2), F.size("by_df")), lambda x: F.struct(x["off"].alias("off"), x["term"].alias("term"), F.hash(x["term"]).alias("hash")))
     return windows.join(ranked.where(F.col("least") > 0).select("win_id", "win", first["term"].alias("term"), first["off"].alias("off"), rest.alias("rest")), ["win_id", "win"])
 
 
-def posting_rows(index: DataFrame) -> DataFrame:
-    """r, term, list: the index's lists one by one."""
-    return index.select("r", F.posexplode("terms").alias("k", "term"), "postings").select("r", "term", F.get(F.col("postings"), F.col("k")).alias("list"))
-
-
 def shifted(list_: Column, off: Column, slop: int = 0) -> Column:
     """The places where a window may begin whose word at off stands in the list, or up to slop words beside it."""
     return F.transform(list_, lambda p: p - off) if not slop else F.flatten(F.transform(list_, lambda p: F.sequence(p - off - slop, p - off + slop)))
 
 
-def find_matches(index: DataFrame, windows: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+def find_matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFrame:
     """A row for each row of the index and window that match there: r, win_id, n (words), items, exact (starts), near (starts).
 
-    The list of the window's rarest term, shifted by its offset, holds the places where the window may begin. The other terms' lists
-    are looked up one by one, from rare to frequent, until one is missing, and then intersected with it in that order until no place is
-    left. exact: each list has the place's word at its offset. near: each list has a position within slop words of that; exact places
-    are near, too. Windows that are small together are broadcast, and lists are met where they are stored; else the lists of the
-    rarest terms meet the windows by a shuffle, and then the rows of those documents. Only a window's own lists leave the index's row.
+    A row is asked for a window if it has the window's rarest term, the next rarest one, and all others. The list of the rarest term,
+    shifted by its offset, holds the places where the window may begin; the other terms' lists are intersected with it one by one,
+    from rare to frequent, until no place is left. exact: each list has the place's word at its offset. near: each list has a position within slop words of that; exact places
+    are near, too. Windows that are small together are broadcast, and so are the asked rows' windows; beyond the bound terms meet windows,
+    and rows what they are asked for, by a shuffle. Lists are intersected in the index's row, once for all its windows.
     """
     size = 2 * F.octet_length(F.array_join("win", " ")) + 40 * F.col("n") + 16 * F.size("items")
     side = if_small(windows, size)
-    plans = ("win_id", "n", "items", "off", "rest")
     if side is not windows:
-        met = index.select("r", "terms", "postings", F.posexplode("terms").alias("k", "term")).join(side, "term")
-        first = F.get(F.col("postings"), F.col("k"))
+        met = index.select("r", "terms", F.posexplode("terms").alias("k", "term")).join(side, "term")
     else:
         rarest = cut(windows.select("term").distinct())
-        found = posting_rows(index).join(if_small(rarest, F.octet_length("term")), "term", "left_semi").join(windows, "term")
-        met = found.select("r", "list", *plans).join(index.select("r", "terms", "postings"), "r")
-        first = F.col("list")
-    # nothing but functions that generated code has, so that no document's lists are copied beside a candidate
-    none = F.array().cast("array<int>")
-    lists, missing = [], F.when(F.lit(False), F.lit(True))
-    for i in range(window - 1):
-        at = F.array_position("terms", F.get(F.col("rest"), F.lit(i))["term"]).cast("int") - 1
-        lists.append(F.when(F.size("rest") <= i, none).when(at >= 0, F.get(F.col("postings"), at)).alias(f"l{i}"))
-        missing = missing.when((F.size("rest") > i) & (at < 0), True)  # a chain of cases is taken in its order, so the rarest terms end most of them
-    asked = cut(met.where(~missing.otherwise(False)).select("r", *plans, first.alias("first"), *lists))
-    lists = F.array(*(F.col(f"l{i}") for i in range(window - 1)))
-    fold = lambda start, d: F.aggregate(F.arrays_zip(F.col("rest"), F.slice(lists, F.lit(1), F.size("rest")).alias("list")), start, lambda acc, t: F.when(F.size(acc) == 0, acc).otherwise(F.array_intersect(acc, shifted(t["list"], t["rest"]["off"], d))))
-    near = asked.select("*", fold(shifted(F.col("first"), F.col("off")), slop).alias("near")).where(F.size("near") > 0)
-    return near.select("r", "win_id", "n", "items", fold(F.filter("near", lambda s: s >= 0), 0).alias("exact"), "near")
+        found = index.select("r", F.explode("terms").alias("term")).join(if_small(rarest, F.octet_length("term")), "term", "left_semi").join(windows, "term")
+        met = found.join(index.select("r", "terms"), "r")
+    # two short tests that generated code has, so that no document's lists are copied beside a candidate: the next rarest term, then all of them
+    next_ = F.get(F.col("rest"), F.lit(0))["term"]
+    some = next_.isNull() | F.array_contains("terms", next_)
+    met = met.where(F.when(some, F.size(F.array_except("win", "terms")) == 0).otherwise(False))
+    asked = cut(met.groupBy("r").agg(F.collect_list(F.struct("win_id", "n", "items", "off", "term", "rest")).alias("asked")))
+    weight = F.aggregate("asked", F.lit(0), lambda acc, c: acc + 600 + 8 * F.size(c["items"]))
+    rows = index.select("r", "terms", "hashes", "postings").join(if_small(asked, weight), "r")
+
+    def of(t: Column) -> Column:
+        """A term's list; terms are found by their hashes, as numbers are compared faster, and by themselves if two share one."""
+        at = F.array_position("hashes", F.hash(t)).cast("int") - 1
+        return F.when(F.get(F.col("terms"), at) == t, F.get(F.col("postings"), at)).otherwise(F.get(F.col("postings"), F.array_position("terms", t).cast("int") - 1))
+
+    fold = lambda rest, start, d: F.aggregate(rest, start, lambda acc, t: F.when(F.size(acc) == 0, acc).otherwise(F.array_intersect(acc, shifted(of(t["term"]), t["off"], d))))
+    near = F.transform("asked", lambda c: F.struct(c["win_id"].alias("win_id"), c["n"].alias("n"), c["items"].alias("items"), c["rest"].alias("rest"), fold(c["rest"], shifted(of(c["term"]), c["off"]), slop).alias("near")))
+    both = F.transform(F.filter(near, lambda c: F.size(c["near"]) > 0), lambda c: F.struct(c["win_id"].alias("win_id"), c["n"].alias("n"), c["items"].alias("items"), fold(c["rest"], F.filter(c["near"], lambda s: s >= 0), 0).alias("exact"), c["near"].alias("near")))
+    return rows.select("r", F.explode_outer(both).alias("m")).where("m is not null").select("r", "m.*")
 
 
 def covered(spans: Column) -> Column:
@@ -119,7 +116,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     """
     index = positional_index(id_and_text(df, id_col, text_col))
     windows = cut(test_windows(id_and_text(benchmark, item_col, item_text_col), window))
-    found = find_matches(index, cut(rarest_first(index, windows)), window, slop)
+    found = find_matches(index, cut(rarest_first(index, windows)), slop)
     spans = F.transform("exact", lambda s: F.struct(s.alias("start"), F.col("n").alias("n")))
     hit = F.size("exact") > 0
     rows = index.select("r", "doc_id", "n_words", F.lit(None).cast("array<struct<start:int,n:int>>").alias("spans"), F.lit(None).cast(windows.schema["items"].dataType).alias("items"), F.lit(0).alias("near_only"))

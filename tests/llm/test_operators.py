@@ -128,7 +128,7 @@ def test_contamination_on_odd_rows(spark, odd, duck, monkeypatch):
 def test_positional_index(odd):
     """The stored lists are those of the words' places, and no text is kept beside them."""
     index = contamination.positional_index(contamination.id_and_text(odd, "doc_id", "text"))
-    assert index.columns == ["r", "doc_id", "n_words", "terms", "postings"]
+    assert index.columns == ["r", "doc_id", "n_words", "terms", "hashes", "postings"]
     texts = dict(ROWS)
     for r in index.collect():
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (texts[r["doc_id"]] or "").translate({c: c + 32 for c in range(65, 91)}))
