@@ -68,8 +68,9 @@ def find_matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> Data
     A row is asked for a window if it has the window's rarest term, the next rarest one, and all others. The list of the rarest term,
     shifted by its offset, holds the places where the window may begin; the other terms' lists are intersected with it one by one,
     from rare to frequent, until no place is left. exact: each list has the place's word at its offset. near: each list has a position within slop words of that; exact places
-    are near, too. Windows that are small together are broadcast, and so are the asked rows' windows; beyond the bound terms meet windows,
-    and rows what they are asked for, by a shuffle. Lists are intersected in the index's row, once for all its windows.
+    are near, too. Windows that are small together are broadcast; beyond the bound terms meet them by a shuffle. Rows that are asked for
+    something, and no others as long as their numbers can be broadcast, meet their windows by a shuffle, and lists are intersected in
+    the index's row, once for all its windows.
     """
     size = 2 * F.octet_length(F.array_join("win", " ")) + 40 * F.col("n") + 16 * F.size("items")
     side = if_small(windows, size)
@@ -84,8 +85,8 @@ def find_matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> Data
     some = next_.isNull() | F.array_contains("terms", next_)
     met = met.where(F.when(some, F.size(F.array_except("win", "terms")) == 0).otherwise(False))
     asked = cut(met.groupBy("r").agg(F.collect_list(F.struct("win_id", "n", "items", "off", "term", "rest")).alias("asked")))
-    weight = F.aggregate("asked", F.lit(0), lambda acc, c: acc + 600 + 8 * F.size(c["items"]))
-    rows = index.select("r", "terms", "hashes", "postings").join(if_small(asked, weight), "r")
+    # rows that are asked for nothing stay where they are; the others meet their windows by a shuffle at every size
+    rows = index.select("r", "terms", "hashes", "postings").join(if_small(asked.select("r")), "r", "left_semi").join(asked.hint("merge"), "r")
 
     def of(t: Column) -> Column:
         """A term's list; terms are found by their hashes, as numbers are compared faster, and by themselves if two share one."""
