@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,15 +64,15 @@ class Cache:
 
 
 class Repeats:
-    """The newest entries of a session: which earlier one an output repeats."""
+    """The newest entries of a session: which earlier one an output repeats. Only newer entries displace one that has no expiry."""
 
-    def __init__(self, entries: list[tuple[str, int, int]] | None = None):
+    def __init__(self, entries: list[tuple[str, int, int | None]] | None = None):
         self.entries = entries or []  # digest, seq, expiry
 
-    def step(self, now: int, digest: str, seq: int, ttl: int) -> int | None:
-        self.entries = [e for e in self.entries if e[2] > now]
+    def step(self, now: int, digest: str, seq: int, ttl: int | None = None) -> int | None:
+        self.entries = [e for e in self.entries if e[2] is None or e[2] > now]
         of = next((s for d, s, _ in reversed(self.entries) if d == digest), None)
-        self.entries = [*self.entries, (digest, seq, now + ttl)][-REPEAT_ENTRIES:]
+        self.entries = [*self.entries, (digest, seq, None if ttl is None else now + ttl)][-REPEAT_ENTRIES:]
         return of
 
 
@@ -99,9 +100,9 @@ def _cache(rows: pd.DataFrame, state) -> tuple[pd.DataFrame, object]:
     return rows[["key", "seq"]].assign(result=hits), list(c.entries.items())
 
 
-def _repeats(rows: pd.DataFrame, state) -> tuple[pd.DataFrame, object]:
+def _repeats(rows: pd.DataFrame, state, ttl_ms: int | None = None) -> tuple[pd.DataFrame, object]:
     r = Repeats([tuple(x) for x in state or []])
-    of = [r.step(int(t), v, int(t), 24 * 3_600_000) for t, v in zip(rows["seq"], rows["value"])]
+    of = [r.step(int(t), v, int(t), ttl_ms) for t, v in zip(rows["seq"], rows["value"])]
     return rows[["key", "seq"]].assign(result=[None if o is None else str(o) for o in of]), r.entries
 
 
@@ -113,11 +114,17 @@ def _intent(rows: pd.DataFrame, state) -> tuple[pd.DataFrame, object]:
 STEPS = {"breaker": _breaker, "cache": _cache, "repeats": _repeats, "intent": _intent}
 
 
-def run_stream(events: DataFrame, step: str, idle_ms: int = IDLE_MS) -> DataFrame:
+def _step(name: str, ttl_ms: int | None):
+    return STEPS[name] if ttl_ms is None else partial(STEPS[name], ttl_ms=ttl_ms)
+
+
+def run_stream(events: DataFrame, step: str, idle_ms: int = IDLE_MS, ttl_ms: int | None = None) -> DataFrame:
     """events (key, seq, value, role, ok) -> key, seq, result, with state by key; a row whose role is 'delete' clears the key's state.
 
     A key without rows for idle_ms of processing time loses its state, too, so that the state doesn't grow with all keys ever seen.
+    ttl_ms is for 'repeats' whose seq is a time: outputs expire so long after it, as the stored entries that they name do.
     """
+    run = _step(step, ttl_ms)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -130,10 +137,10 @@ def run_stream(events: DataFrame, step: str, idle_ms: int = IDLE_MS) -> DataFram
             last = rows.loc[gone, "seq"].max()
             first, rows = rows[(rows["seq"] < last) & ~gone], rows[rows["seq"] > last]
             if len(first):
-                yield STEPS[step](first, held)[0]
+                yield run(first, held)[0]
             held = None
         if len(rows):
-            out, held = STEPS[step](rows, held)
+            out, held = run(rows, held)
             yield out
         if held is None:
             state.remove()
@@ -145,13 +152,14 @@ def run_stream(events: DataFrame, step: str, idle_ms: int = IDLE_MS) -> DataFram
     return events.groupBy("key").applyInPandasWithState(update, f"key {kind}, seq long, result string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_batch(events: DataFrame, step: str) -> DataFrame:
+def run_batch(events: DataFrame, step: str, ttl_ms: int | None = None) -> DataFrame:
     """The same over events at rest; a key's rows go to one task in order of seq."""
+    run = _step(step, ttl_ms)
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", kind="stable")
         cut = rows["role"].eq("delete").cumsum()
-        parts = [STEPS[step](g[g["role"] != "delete"], None)[0] for _, g in rows.groupby(cut, sort=True) if (g["role"] != "delete").any()]
+        parts = [run(g[g["role"] != "delete"], None)[0] for _, g in rows.groupby(cut, sort=True) if (g["role"] != "delete").any()]
         return pd.concat(parts) if parts else rows[["key", "seq"]].assign(result=None).iloc[:0]
 
     kind = events.schema["key"].dataType.simpleString()

@@ -257,6 +257,14 @@ def test_stream_equals_batch(spark, tmp_path):
         assert got == sorted(tuple(r) for r in state.run_batch(rest, step).collect()), step
 
 
+def test_repeats_expire_only_where_asked(spark):
+    """Rows far apart in seq, of a key with few of them: the last 32 outputs count, whatever their seq, unless they were given a lifetime."""
+    rest = spark.createDataFrame([("a", i * 50_000_000, "xyz"[i % 3], "user", True) for i in range(9)], "key string, seq long, value string, role string, ok boolean")
+    got = lambda **a: [r["result"] for r in state.run_batch(rest, "repeats", **a).sort("seq").collect()]
+    assert got() == [None] * 3 + [str(i * 50_000_000) for i in range(6)]
+    assert got(ttl_ms=24 * 3_600_000) == [None] * 9
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("abcdefghij" * 20,)], "x string")
     assert len(df.select(text.clip(F.col("x"), F.lit(90))).collect()[0][0]) == 90
