@@ -265,6 +265,20 @@ def test_repeats_expire_only_where_asked(spark):
     assert got(ttl_ms=24 * 3_600_000) == [None] * 9
 
 
+def test_tokens_list_no_matches(spark):
+    """Pieces are counted, never listed: a list of them is many times as large as a long payload. Counts equal those of the listed pieces."""
+    rng, marks = random.Random(3), ["a", "Z", "_", "$", "0", "7", "1", ".", ".", " ", "\n", "\t", "\xa0", "é", "漢", "-", "{", "=>", "😀", "abcd", "12"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(1, 60))) for _ in range(400)] + ["1.2.3.4", "12.34.56", "a1.5", "1.a5", "123abc4567", " \n ", "abcd1234efgh5", "1234.5678 9."]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", tokens.code_tokens(F.col("x")).alias("code"), tokens.prose_tokens(F.col("x")).alias("prose"), tokens.tokens(F.col("x")).alias("n"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "regexp_count" not in plan
+    pieces = k.re.compile(r"([A-Za-z_$][\w$]*)|(\d+(?:\.\d+)?)|[^ \t\n\x0b\f\r\w]", k.re.ASCII)
+    prose = k.regex.compile(r"[\p{L}\p{N}_]{1,4}|[^ \t\n\x0b\f\r\p{L}\p{N}_]")
+    for r in df.collect():
+        fifths = sum(5 * -(-len(m[1]) // 4) if m[1] else 5 * -(-len(m[2]) // 3) if m[2] else 3 for m in pieces.finditer(r["x"]))
+        assert (r["code"], r["prose"]) == (max(1, -(-fifths // 5)), len(prose.findall(r["x"]))), r["x"]
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("abcdefghij" * 20,)], "x string")
     assert len(df.select(text.clip(F.col("x"), F.lit(90))).collect()[0][0]) == 90
