@@ -279,6 +279,16 @@ def test_tokens_list_no_matches(spark):
         assert (r["code"], r["prose"]) == (max(1, -(-fifths // 5)), len(prose.findall(r["x"]))), r["x"]
 
 
+def test_admission_carries_no_outputs(spark):
+    """What is asked behind the gates holds no output: neither the Python function's rows nor copies of them."""
+    df = spark.createDataFrame([("a", "def f():\n    return 1\nimport os\nclass A:\n    pass\n", "cat f.py"), ("b", None, "cat f.py"), ("c", "", "cat f.py"), ("d", "word " * 40, "ls")], "id string, content string, args string")
+    d = policy.admit(df.withColumn("tool", F.lit("shell")), policy.Policy(), output="content", args="args").select("id", "reason")
+    assert sorted(map(tuple, d.collect())) == [("a", "read_protected"), ("b", "source_denied"), ("c", "empty_or_marked"), ("d", "admitted")]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Generate")[0]
+    assert "ArrowEvalPython" in above and "content#" not in above
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("abcdefghij" * 20,)], "x string")
     assert len(df.select(text.clip(F.col("x"), F.lit(90))).collect()[0][0]) == 90
