@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions import kernels as k
 from sievework.functions import detect, text, tokens
 from sievework.operators import commands, compaction, lines, lossless, policy, rank, retrieve, sessions, store
+from sievework.plans import views
 from sievework.sources import outputs
 from sievework.streaming import state
 
@@ -289,6 +290,25 @@ def test_admission_carries_no_outputs(spark):
     assert "ArrowEvalPython" in above and "content#" not in above
 
 
+def test_payloads_are_dealt_by_size(spark, tmp_path):
+    """More tables' bytes give more partitions, so that what meets in a batch stays bounded."""
+    cores = spark.sparkContext.defaultParallelism
+    small = spark.range(10)
+    large = spark.range(10).select(F.explode(F.sequence(F.lit(1), F.lit(200_000))).alias("x"), F.rand(1).alias("y")).repartition(1)
+    large.write.parquet(str(tmp_path / "large"))
+    assert views.shares(spark, [small]) == 4 * cores
+    stored = sum(f.stat().st_size for f in (tmp_path / "large").glob("*.parquet"))
+    got = views.shares(spark, [small, spark.read.parquet(str(tmp_path / "large"))] * 3)
+    assert got >= 3 * stored // views.SHARE_BYTES > 4 * cores
+
+
+def test_batches_are_bounded_by_bytes():
+    texts = ["x" * n for n in (3, 9, 2, 2, 2, 30, 0)] + [None, "é" * 5]
+    got = [p.column(0).to_pylist() for p in lossless.parts(lossless.pa.RecordBatch.from_pydict({"t": texts}), "t", 10)]
+    assert [x for p in got for x in p] == texts and [[len((x or "").encode()) for x in p] for p in got] == [[3], [9], [2, 2, 2], [30], [0, 0, 10]]
+    assert [p.num_rows for p in lossless.parts(lossless.pa.RecordBatch.from_pydict({"t": lossless.pa.array([], "string")}), "t")] == [0]
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("abcdefghij" * 20,)], "x string")
     assert len(df.select(text.clip(F.col("x"), F.lit(90))).collect()[0][0]) == 90
