@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.text import let
 from sievework.llm.common import id_and_text, if_small
 from sievework.session import cut, stored
 
@@ -27,19 +28,31 @@ def test_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return wins.groupBy("win").agg(F.collect_set("item_id").alias("items")).select(F.xxhash64("win").alias("win_id"), "win", F.size("win").alias("n"), "items")
 
 
-def positional_index(docs: DataFrame) -> DataFrame:
-    """The stored index, a row for each row of docs: r (a number), doc_id, n_words, terms (distinct, in order), hashes (of the terms, to find them by), postings (of each term its positions, ascending).
+def flat_index(docs: DataFrame) -> DataFrame:
+    """The stored index, a row for each row of docs: r (a number), doc_id, n_words, terms (distinct, in order), places (all positions, by term and ascending), begins (where each term's list begins in places, and their number at the end).
 
     Lists are kept by document, as segments of a distributed index are: nothing is shuffled to build them, and a hot term's list is as
-    long as its document allows at most.
+    long as its document allows at most. They lie one behind another, so that no array is built for each term.
     """
     words = docs.select("doc_id", words_of(F.col("text")).alias("w"))
-    places = words.select("doc_id", F.size("w").alias("n_words"), F.sort_array(F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("pos")))).alias("s"))
-    begins = F.filter(F.transform("s", lambda x, i: F.when(F.coalesce(F.get(F.col("s"), i - 1)["term"] != x["term"], F.lit(True)), i)), lambda i: i.isNotNull())
-    runs = places.select("doc_id", "n_words", "s", begins.alias("b"))
-    terms = F.transform("b", lambda i: F.get(F.col("s"), i)["term"])
-    postings = F.transform("b", lambda i, k: F.transform(F.slice(F.col("s"), i + 1, F.coalesce(F.get(F.col("b"), k + 1), F.size("s")) - i), lambda x: x["pos"]))
-    return stored(runs.select(F.monotonically_increasing_id().alias("r"), "doc_id", "n_words", terms.alias("terms"), F.transform(terms, lambda t: F.hash(t)).alias("hashes"), postings.alias("postings")))
+    count = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
+    runs = words.select("doc_id", F.size("w").alias("n_words"), F.sort_array(F.arrays_zip(F.col("w").alias("term"), count.alias("pos"))).alias("s"))
+    new = lambda e: F.filter(F.sequence(F.lit(0), F.size(e)), lambda i: ~F.get(e, i).eqNullSafe(F.get(e, i - 1)))
+    terms = lambda e, b: F.transform(F.slice(b, F.lit(1), F.greatest(F.lit(0), F.size(b) - 1)), lambda i: F.get(e, i))
+    lists = let(F.col("s")["term"], lambda e: let(new(e), lambda b: F.struct(b.alias("begins"), terms(e, b).alias("terms"))))
+    flat = runs.select("doc_id", "n_words", F.col("s")["pos"].alias("places"), lists.alias("lists"))
+    return stored(flat.select(F.monotonically_increasing_id().alias("r"), "doc_id", "n_words", "lists.terms", "places", "lists.begins"))
+
+
+def with_lists(index: DataFrame) -> DataFrame:
+    """Rows of the stored index with hashes (of the terms, to find them by) and postings (of each term its positions) in place of places and begins."""
+    postings = F.transform("terms", lambda _, k: F.slice(F.col("places"), F.get(F.col("begins"), k) + 1, F.get(F.col("begins"), k + 1) - F.get(F.col("begins"), k)))
+    return index.withColumns({"hashes": F.transform("terms", lambda t: F.hash(t)), "postings": postings}).drop("places", "begins")
+
+
+def positional_index(docs: DataFrame) -> DataFrame:
+    """The index with its lists: r, doc_id, n_words, terms, hashes, postings."""
+    return with_lists(flat_index(docs))
 
 
 def rarest_first(index: DataFrame, windows: DataFrame) -> DataFrame:
@@ -49,7 +62,7 @@ def rarest_first(index: DataFrame, windows: DataFrame) -> DataFrame:
     """
     terms = windows.select("win_id", "win", F.posexplode("win").alias("off", "term"))
     vocab = cut(terms.select("term").distinct())
-    lists = index.select(F.posexplode("terms").alias("k", "term"), "postings").select("term", F.size(F.get(F.col("postings"), F.col("k"))).alias("n"))
+    lists = index.select(F.posexplode("terms").alias("k", "term"), "begins").select("term", (F.get("begins", F.col("k") + 1) - F.get("begins", F.col("k"))).alias("n"))
     df = lists.join(if_small(vocab, F.octet_length("term")), "term").groupBy("term").agg(F.sum("n").alias("df"))
     ranked = terms.join(df, "term", "left").groupBy("win_id", "win").agg(F.min(F.coalesce("df", F.lit(0))).alias("least"), F.sort_array(F.collect_list(F.struct("df", "off", "term"))).alias("by_df"))
     first = F.col("by_df")[0]
@@ -86,7 +99,7 @@ def find_matches(index: DataFrame, windows: DataFrame, slop: int = SLOP) -> Data
     met = met.where(F.when(some, F.size(F.array_except("win", "terms")) == 0).otherwise(False))
     asked = cut(met.groupBy("r").agg(F.collect_list(F.struct("win_id", "n", "items", "off", "term", "rest")).alias("asked")))
     # rows that are asked for nothing stay where they are; the others meet their windows by a shuffle at every size
-    rows = index.select("r", "terms", "hashes", "postings").join(if_small(asked.select("r")), "r", "left_semi").join(asked.hint("merge"), "r")
+    rows = with_lists(index.select("r", "terms", "places", "begins").join(if_small(asked.select("r")), "r", "left_semi").join(asked.hint("merge"), "r"))
 
     def of(t: Column) -> Column:
         """A term's list; terms are found by their hashes, as numbers are compared faster, and by themselves if two share one."""
@@ -115,7 +128,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     once by item_id, items with a null item_id only as hits. Of equally rare terms the window's first one begins. An empty benchmark
     contaminates nothing; an empty df gives no rows; other columns, whatever their names, play no part.
     """
-    index = positional_index(id_and_text(df, id_col, text_col))
+    index = flat_index(id_and_text(df, id_col, text_col))
     windows = cut(test_windows(id_and_text(benchmark, item_col, item_text_col), window))
     found = find_matches(index, cut(rarest_first(index, windows)), slop)
     spans = F.transform("exact", lambda s: F.struct(s.alias("start"), F.col("n").alias("n")))

@@ -138,6 +138,20 @@ def test_positional_index(odd):
         assert r["n_words"] == len(words) and r["terms"] == sorted(places) and dict(zip(r["terms"], r["postings"])) == places
 
 
+def test_lists_are_stored_flat(spark, odd):
+    """One array of places a row, cut by where lists begin: no list is stored by itself; rows without words have none, and long texts as many as terms."""
+    long_ = [f"w{i * i % 7919}" for i in range(50_000)]
+    df = odd.select("doc_id", "text").unionAll(spark.createDataFrame([(9_000, " ".join(long_)), (9_001, "..."), (9_002, "b a b")], "doc_id long, text string"))
+    index = contamination.flat_index(contamination.id_and_text(df, "doc_id", "text"))
+    assert {f.name: f.dataType.simpleString() for f in index.schema} == {"r": "bigint", "doc_id": "bigint", "n_words": "int", "terms": "array<string>", "places": "array<int>", "begins": "array<int>"}
+    got = {r["doc_id"]: r for r in index.collect()}
+    assert all(len(r["places"]) == r["n_words"] and len(r["begins"]) == len(r["terms"]) + bool(r["terms"]) for r in got.values())
+    assert (got[9_001]["terms"], got[9_001]["places"], got[9_001]["begins"]) == ([], [], [])
+    assert (got[9_002]["terms"], got[9_002]["places"], got[9_002]["begins"]) == (["a", "b"], [1, 0, 2], [0, 1, 3])
+    assert [t for t, a, z in zip(got[9_000]["terms"], got[9_000]["begins"], got[9_000]["begins"][1:]) for _ in range(a, z)] == sorted(long_)
+    assert [long_[i] for i in got[9_000]["places"]] == sorted(long_)
+
+
 def test_proximity(spark, monkeypatch):
     """Windows whose words stand within the slop of their places, against each place of each document."""
     rng = random.Random(11)
